@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingsift.llm import spans
+from filingsift.llm import encoding, mixing, spans
 from filingsift.sources.tables import table
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.encoded(table(spark, folder, "documents"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    documents = encoding.token_counts(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return mixing.mixed(documents, table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"))
 
@@ -17,5 +30,5 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(documents, spans.shared_spans(documents))
 
 
-QUERIES = {"p8_found": p8_found, "p8_coverage": p8_coverage}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_coverage)}
 SQL: dict[str, str] = {}
