@@ -3,12 +3,14 @@
 Method: count-min prefilter. Pass 1 picks windows by content (in any ``length - PICK + 1`` neighbouring windows of PICK
 characters the one of least hash), so two equal stretches of ``length`` characters always pick an equal window; each
 task counts its picks in a sketch, and the merged sketches overestimate how many documents hold a pick. Pass 2 hashes
-every window of ``length`` characters, keeps those whose pick is estimated to be in two documents or more, and groups
-exactly these: a window is shared if its group holds two documents. Nothing shared is lost, since a sketch only
-overestimates.
+every window of ``length`` characters whose pick is estimated to be in two documents or more, and groups exactly these:
+a window is shared if its group holds two documents. Nothing shared is lost, since a sketch only overestimates.
 
-Skew: the grouping is a partial aggregation (least and greatest document of a window), and windows come back through a
-semi join that Spark may split, so one passage that stands in a third of all documents burdens no single task.
+Neighbouring windows with one pick travel as one run. Where all runs of a pick are the same text, one comparison settles
+all their windows; only where they differ, at the ends of shared passages, are single windows grouped.
+
+Skew: both groupings are partial aggregations (least and greatest document), and rows come back through joins that Spark
+may split, so one passage that stands in a third of all documents burdens no single task.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from filingsift.llm.hashing import Ranges, text_slices
 PICK_SHARE = 2 / 3
 #: Buckets of each of the sketch's two rows, as a power of two: 2 x 8 MB of bits.
 SKETCH_BITS, SKETCH_ROWS = 26, 2
-WINDOWS = "hash long, doc_id {kind}, start int"
+RUNS = "pick long, run long, doc_id {kind}, start int, hashes array<long>"
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -78,7 +80,8 @@ def _runs(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def shared_windows(documents: DataFrame, length: int = 240, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start): every window of ``length`` characters that stands in the text of another doc_id too."""
+    """(doc_id, first, last): ranges of the starts of the windows of ``length`` characters that stand in the text of
+    another doc_id too."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,17 +102,25 @@ def shared_windows(documents: DataFrame, length: int = 240, doc_id: str = "doc_i
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, start, ranges, at, least, picks in _pieces(batch.column(1), length):
-                starts = _runs(rows, least)
-                kept = np.repeat(sketch.may_repeat(bits.value, picks[least[starts]], SKETCH_BITS, SKETCH_ROWS), np.diff(np.r_[starts, len(at)]))
+                begins = _runs(rows, least)
+                sizes = np.diff(np.r_[begins, len(at)])
+                pick = picks[least[begins]]
+                kept = sketch.may_repeat(bits.value, pick, SKETCH_BITS, SKETCH_ROWS)
                 if kept.any():
-                    at = at[kept]
-                    hashes = ranges.between(at, at + length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(0).take(pa.array(rows[kept])), pa.array(start[kept].astype(np.int32))], ["hash", "doc_id", "start"])
-
-    windows = docs.mapInArrow(second, WINDOWS.format(kind=kind.simpleString()))
-    windows = written(windows, "windows")
-    repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("hash")
-    return windows.join(repeated, "hash", "left_semi").select("doc_id", "start")
+                    own = at[np.repeat(kept, sizes)]
+                    begins, sizes = begins[kept], sizes[kept]
+                    whole = ranges.between(at[begins], at[begins + sizes - 1] + length)
+                    hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ranges.between(own, own + length).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(pick[kept].view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(rows[begins])), pa.array(start[begins].astype(np.int32)), hashes], ["pick", "run", "doc_id", "start", "hashes"])
+
+    runs = written(docs.mapInArrow(second, RUNS.format(kind=kind.simpleString())), "runs")
+    found = runs.groupBy("pick").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), (F.min("run") == F.max("run")).alias("same"))
+    found = runs.join(found.where("least < greatest").select("pick", "same"), "pick")
+    whole = found.where("same").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.size("hashes") - 1).alias("last"))
+    single = found.where("not same").select("doc_id", "start", F.posexplode("hashes").alias("nth", "hash")).select("hash", "doc_id", (F.col("start") + F.col("nth")).alias("first"))
+    repeated = single.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("hash")
+    single = single.join(repeated, "hash", "left_semi").select("doc_id", "first", F.col("first").alias("last"))
+    return whole.unionByName(single)
 
 
 def shared_spans(documents: DataFrame, length: int = 240, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,11 +130,12 @@ def shared_spans(documents: DataFrame, length: int = 240, doc_id: str = "doc_id"
     text of another doc_id. Null, empty and shorter texts have no span; a passage repeated inside one document only is
     none; rows that repeat a doc_id count as one document. Other columns are ignored.
     """
-    order = Window.partitionBy("doc_id").orderBy("start")
+    order = Window.partitionBy("doc_id").orderBy("first", "last")
     windows = shared_windows(documents, length, doc_id, text)
-    gap = F.coalesce(F.col("start") - F.lag("start").over(order) > length, F.lit(True))
-    runs = windows.withColumn("run", F.sum(gap.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("span_start"), (F.max("start") + length).cast("int").alias("span_end")).drop("run")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.coalesce(F.col("first") - reached > length, F.lit(True))
+    runs = windows.withColumn("gap", gap).withColumn("run", F.sum(F.col("gap").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(F.min("first").alias("span_start"), (F.max("last") + length).cast("int").alias("span_end")).drop("run")
 
 
 def coverage(documents: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
