@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filingsift.llm import encoding, mixing, spans
+from filingsift.llm import encoding, mixing, near_duplicates, spans
 from filingsift.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = near_duplicates.similar_pairs(table(spark, folder, "chunks"), 0.7, 3, 30, "chunk_id")
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_groups(table(spark, folder, "chunks"), 0.7, 3, 30, "chunk_id").withColumnRenamed("id", "chunk_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encoded(table(spark, folder, "documents"))
 
@@ -30,5 +40,5 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(documents, spans.shared_spans(documents))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_coverage)}
 SQL: dict[str, str] = {}

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Partial sketches that one merging task takes at most: more tasks merge in further levels.
 FAN_IN = 128
+#: Values that a task gathers before it writes them into a partial sketch.
+FLUSH = 4_000_000
 PARTIAL = "block int, part int, data binary"
 _BLOCK_BITS = 18
 
@@ -37,19 +39,29 @@ def _split(ids: np.ndarray, data: np.ndarray, bits: int) -> Iterator[tuple[int,
 
 
 def partial_repeated(values: Iterable[np.ndarray], bits: int, rows: int = 1) -> Iterator[pa.RecordBatch]:
-    """One task's partial sketch: per block, sorted (bucket << 1 | seen twice)."""
-    parts = list(values)
-    every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    del parts
+    """One task's partial sketches: per block, sorted (bucket << 1 | seen twice), one for each ``FLUSH`` values or so."""
+    parts: list[np.ndarray] = []
+    held = 0
+    for v in values:
+        parts.append(v)
+        held += len(v)
+        if held >= FLUSH:
+            yield from _packed(np.concatenate(parts), bits, rows)
+            parts, held = [], 0
+    if held:
+        yield from _packed(np.concatenate(parts), bits, rows)
+
+
+def _packed(every: np.ndarray, bits: int, rows: int) -> Iterator[pa.RecordBatch]:
     low = np.uint32((1 << min(_BLOCK_BITS, bits)) - 1)
-    blocks, datas = [], []
     for row in range(rows):
         ids, n = np.unique(buckets(every, bits, row), return_counts=True)
         packed = ((ids & low) << np.uint32(1)) | (n > 1).astype(np.uint32)
+        blocks, datas = [], []
         for block, data in _split(ids.astype(np.int64), packed, bits):
             blocks.append(block + (row << (bits - min(_BLOCK_BITS, bits))))
             datas.append(data.tobytes())
-    yield _batch(blocks, datas)
+        yield _batch(blocks, datas)
 
 
 def partial_counted(values: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
