@@ -30,7 +30,7 @@ KEPT_PIECES = 1_000_000
 
 # The tokenizer's published split pattern, with its white space spelled out; the second is the first for
 # texts of ASCII characters only.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000, 45, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 

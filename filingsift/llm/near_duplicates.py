@@ -43,7 +43,7 @@ _CLASS = np.zeros(256, bool)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_UNUSUAL = ("İ".encode(), "K".encode())  # their lower case holds an ASCII letter
+_UNUSUAL = (chr(0x130).encode(), chr(0x212A).encode())  # capital dotted I and the Kelvin sign: their lower case holds an ASCII letter
 
 
 def _sets(column: pa.Array, words: int, least_tokens: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

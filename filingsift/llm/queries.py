@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingsift.llm import encoding, mixing, near_duplicates, spans
+from filingsift.functions.shared import written
+from filingsift.llm import encoding, mixing, near_duplicates, quality, repeated_lines, spans, splitting
 from filingsift.sources.tables import table
 
 
+def _lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = table(spark, folder, "chunks").select("chunk_id", "doc_id", "kind", "text")
+    documents = table(spark, folder, "filings").select("doc_id", F.col("ticker").alias("source"))
+    exempt = table(spark, folder, "headings").where("heading is not null").select(repeated_lines.form(F.col("heading")).alias("form"))
+    return chunks, documents, exempt
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.repeated_lines(*_lines(spark, folder)).select("chunk_id", F.col("line_no").cast("int").alias("line_no"))
+
+
+def p1_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    patterns, _ = repeated_lines.frequent_sequences(written(repeated_lines.sequences(*_lines(spark, folder)), "sequences"))
+    return patterns.select("source", F.size("items").alias("lines"), F.array_join(F.transform("items", lambda i: F.hex(i)), " ").alias("items"), "support")
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, documents, exempt = _lines(spark, folder)
+    return repeated_lines.without_lines(chunks, repeated_lines.repeated_lines(chunks, documents, exempt)).select("chunk_id", "clean_text")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, folder, "chunks"), 0.7, 3, 30, "chunk_id")
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -18,6 +40,29 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, folder, "chunks"), 0.7, 3, 30, "chunk_id").withColumnRenamed("id", "chunk_id")
 
 
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select(F.col("chunk_id").alias("item_id"), "section", "kind", "text")
+    name = F.concat("doc_id", F.lit(":p"), "page_index", F.lit(":b"), "block_no")
+    return chunks.unionByName(table(spark, folder, "blocks").select(name.alias("item_id"), "section", "kind", "text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(_items(spark, folder)).where("piece_no > 0").select("item_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(_items(spark, folder))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    types = quality.text_types(table(spark, folder, "chunks"), table(spark, folder, "common_words"))
+    return types.where("kind is null or kind <> 'table'").where(quality.not_prose()).select("chunk_id")
+
+
+def p5_types(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_types(table(spark, folder, "chunks"), table(spark, folder, "common_words"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encoded(table(spark, folder, "documents"))
 
@@ -40,5 +85,5 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(documents, spans.shared_spans(documents))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_types, p6_ids, p7_mix, p7_shares, p8_found, p8_coverage)}
 SQL: dict[str, str] = {}
