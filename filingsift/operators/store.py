@@ -53,18 +53,18 @@ def running_total(rows: DataFrame, at: str, tie: str, value: str, grain: str = "
 
     Taken in two levels, inside time buckets and over their totals, so that no window holds the whole table."""
     rows = rows.withColumn("bucket", F.date_trunc(grain, at))
-    v = F.coalesce(F.col(value), F.lit(0.0))
+    v = F.coalesce(F.col(value), F.lit(0))
     inside = F.sum(v).over(Window.partitionBy("bucket").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
     totals = rows.groupBy("bucket").agg(F.sum(v).alias("total"))
     before = F.sum("total").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # one row per bucket
-    bases = totals.select("bucket", F.coalesce(before, F.lit(0.0)).alias("base"))
-    return rows.withColumn("inside", inside).join(bases, "bucket").withColumn("running", F.round(F.col("base") + F.col("inside"), 8)).drop("bucket", "inside", "base")
+    bases = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("base"))
+    return rows.withColumn("inside", inside).join(bases, "bucket").withColumn("running", F.col("base") + F.col("inside")).drop("bucket", "inside", "base")
 
 
 def within_budget(rows: DataFrame, at: str, tie: str, value: str, budget: float) -> DataFrame:
     """The rows up to and with the first one that passes the budget."""
     r = running_total(rows, at, tie, value)
-    return r.where(F.col("running") - F.coalesce(F.col(value), F.lit(0.0)) <= budget)
+    return r.where(F.col("running") - F.coalesce(F.col(value), F.lit(0)) <= budget)
 
 
 def latest(rows: DataFrame, keys: list[str], by: str, tie: str) -> DataFrame:

@@ -22,14 +22,14 @@ def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def daily_cost(spark: SparkSession, folder: str, late: str = "2 days") -> DataFrame:
-    """(day, kind, calls, usd) of every day that is closed: older than the latest call by more than ``late``. A log_id counts
-    once; a null cost counts as none. State is the open days' groups and the ids seen since the watermark."""
-    out = f"{shared_dir(spark)}/daily-cost-{uuid.uuid4().hex}"
+def hourly_cost(spark: SparkSession, folder: str, late: str = "2 hours") -> DataFrame:
+    """(hour, kind, calls, usd) of every hour that is closed: older than the latest call by more than ``late``. A log_id counts
+    once; a null cost counts as none. State is the open hours' groups and the ids seen since the watermark."""
+    out = f"{shared_dir(spark)}/hourly-cost-{uuid.uuid4().hex}"
     calls = stream_of(spark, folder, "cost_log").where("log_id is not null").withColumn("ts", F.col("ts").cast("timestamp"))
     calls = calls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["log_id"])
-    days = calls.groupBy(F.window("ts", "1 day"), "kind").agg(F.count("*").alias("calls"), F.round(F.sum(F.coalesce("usd", F.lit(0.0))), 6).alias("usd"))
-    rows = days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "kind", "calls", "usd")
+    hours = calls.groupBy(F.window("ts", "1 hour"), "kind").agg(F.count("*").alias("calls"), F.round(F.sum(F.coalesce("usd", F.lit(0.0))), 6).alias("usd"))
+    rows = hours.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "kind", "calls", "usd")
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 
