@@ -4,13 +4,14 @@ A record is the set of runs of ``words`` consecutive tokens (`[a-z0-9]+` of the
 if |A and B| / |A or B| >= threshold. Method: set-relation skipping over an inverted index.
 
 * Order. Shingles are ordered by how many records hold their bucket of a merged counting sketch (rare first), ties by hash.
-* Index. Sets that must share many shingles share more than ``g`` of the first ``P = allowed misses + g + 1`` in that
-  order, hence two that fall into one of ``g`` hashed groups: index keys are the pairs of prefix shingles of one group. No
-  pair of alike sets is missed, and a key made of two shingles has short lists even where single shingles are frequent.
+* Index. Alike sets share at least ``g + m`` of the first ``P = allowed misses + g + m`` shingles in that order. Hashed into
+  ``g`` groups, these fall at least ``m`` times two into one group: index keys are the pairs of prefix shingles of one group,
+  and alike sets have ``m`` keys in common. No pair of alike sets is missed; keys made of two shingles have short lists even
+  where single shingles are frequent, and hardly any other pair has m of them in common.
 * Keys that one record only holds lead nowhere: a second merged sketch overestimates how many hold a key, and only those
   with two or more are sent.
-* Index-level skipping: a list is cut into blocks by position, and a probe opens the blocks whose positions still allow the
-  needed overlap; the others are never joined.
+* Index-level skipping: a list is cut into blocks by position. An entry meets those of its own block, and is sent on to later
+  blocks only as far as the needed overlap lets an alike set's entry stand; the other blocks are never joined with it.
 * Answer-level skipping: equal sets are one class and only its representative is indexed. Representatives with the same
   rarest shingles follow a leader; once the overlap of two leaders is computed, it bounds the overlaps of their followers
   by the few shingles in which these differ, and only pairs that the bounds leave open are compared in full.
@@ -34,9 +35,11 @@ from filingsift.llm import sketch
 from filingsift.llm.hashing import Ranges, mix, text_slices
 
 #: Buckets of the ordering sketch (4 bytes each) and of the key sketch (one bit each), as powers of two.
-ORDER_BITS, KEY_BITS = 20, 28
+ORDER_BITS, KEY_BITS, KEY_ROWS = 20, 28, 2
 #: Positions of one block of an index list.
-BLOCK = 16
+BLOCK = 256
+#: Keys that alike sets must have in common, at most (fewer for sets below 16 shingles).
+COMMON = 4
 #: Rarest shingles that followers of a leader have in common.
 NEAR = 6
 _CLASS = np.zeros(256, bool)
@@ -98,12 +101,13 @@ def _needed_column(a: str, b: str, threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col(a) + F.col(b)) - 1e-9)
 
 
-def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """Index keys as (index of the later shingle, key, whether a set as the smaller of two has this key too).
+def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index keys as (index of the later shingle, key, whether a set has it as the smaller of two as well).
 
-    The class of two sets is that of the smaller, c for 2**c to 2**(c + 1) - 1 shingles, and has ``g = 2**c / 4`` groups;
-    a set has keys of its own class, and as the larger one those of the class below if an alike set may be that small.
-    Below 8 shingles sets may share fewer than g + 1, so there single shingles are the keys (g = 0).
+    The class of two sets is that of the smaller, c for 2**c to 2**(c + 1) - 1 shingles; it has ``g = 2**c / 4`` groups and
+    asks for ``m = min(COMMON, g)`` common keys (see ``_common_keys``). A set has keys of its own class, and as the larger
+    one those of the class below if an alike set may be that small. Below 8 shingles sets may share fewer than g + m, so
+    there single shingles are the keys (g = 0, m = 1).
     """
     own = np.floor(np.log2(size) + 1e-9).astype(np.int64)
     for lower in (0, 1):
@@ -111,16 +115,17 @@ def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray,
         floor = 1 << np.maximum(cls, 0)
         smallest = np.maximum(np.ceil(threshold * size - 1e-9).astype(np.int64), floor)
         g = np.where(cls >= 3, floor >> 2, 0)
-        inside = (cls >= 0) & (smallest < 2 * floor) & (at <= size - _needed(smallest, size, threshold) + g)
-        small = (at <= size - _needed(size, size, threshold) + g) & (lower == 0)
+        m = np.where(cls >= 3, np.minimum(COMMON, g), 1)
+        inside = (cls >= 0) & (smallest < 2 * floor) & (at < size - _needed(smallest, size, threshold) + g + m)
+        small = (lower == 0) & (at < size - _needed(size, size, threshold) + g + m)  # the smaller of two may miss less
         salt = mix(cls.astype(np.uint64) + np.uint64(101))
         lone = np.flatnonzero(inside & (g == 0))
         if len(lone):
             yield lone, mix(hashes[lone] ^ salt[lone]), small[lone]
         paired = np.flatnonzero(inside & (g > 0))
-        group = mix(hashes[paired] + np.uint64(77)) % np.maximum(g[paired], 1).astype(np.uint64)
-        order = paired[np.lexsort((at[paired], group, row[paired]))]
-        group = mix(hashes[order] + np.uint64(77)) % np.maximum(g[order], 1).astype(np.uint64)
+        group = mix(hashes[paired] + np.uint64(77)) % g[paired].astype(np.uint64)
+        sort = np.lexsort((at[paired], group, row[paired]))
+        order, group = paired[sort], group[sort]
         for lag in range(1, len(order)):
             same = (row[order[:-lag]] == row[order[lag:]]) & (group[:-lag] == group[lag:])
             if not same.any():
@@ -129,6 +134,12 @@ def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray,
             yield b, mix((hashes[a] * np.uint64(3) + mix(hashes[b])) ^ salt[b]), small[b]
 
 
+def _common_keys(smaller: Column) -> Column:
+    """The keys that two alike sets have in common at least, by the size of the smaller one."""
+    g = F.floor(F.pow(F.lit(2.0), F.floor(F.log2(smaller.cast("double")) + 1e-9)) / 4)
+    return F.when(smaller < 8, 1).otherwise(F.least(g, F.lit(COMMON)))
+
+
 def _classes(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each set: where it starts, the id of its class (a hash of the set) and of its rarest shingles."""
     starts = np.flatnonzero(at == 0)
@@ -191,9 +202,9 @@ class Joined:
                         for _, key, _ in _keys(row, hashes, at, size, threshold):
                             yield key
 
-            yield from sketch.partial_repeated(every(), KEY_BITS)
+            yield from sketch.partial_repeated(every(), KEY_BITS, KEY_ROWS)
 
-        bits = self.spark.sparkContext.broadcast(sketch.repeated(self.records.select("text").mapInArrow(keys, sketch.PARTIAL), KEY_BITS))
+        bits = self.spark.sparkContext.broadcast(sketch.repeated(self.records.select("text").mapInArrow(keys, sketch.PARTIAL), KEY_BITS, KEY_ROWS))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -204,7 +215,7 @@ class Joined:
                     none = len(record)
                     yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_()), pa.array(near.view(np.int64)), ids.take(pa.array(record))], names)
                     for k, key, small in _keys(row, hashes, at, size, threshold):
-                        kept = sketch.may_repeat(bits.value, key, KEY_BITS)
+                        kept = sketch.may_repeat(bits.value, key, KEY_BITS, KEY_ROWS)
                         if kept.any():
                             k = k[kept]
                             yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), pa.array(own[k].view(np.int64)), pa.array(size[k].astype(np.int32)), pa.array(at[k].astype(np.int32)), pa.array(small[kept]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), ids.type)], names)
@@ -212,17 +223,25 @@ class Joined:
         return written(self.records.select("text", "id").mapInArrow(rows, INDEX.format(kind=self.kind)), "index")
 
     def _candidates(self, index: DataFrame) -> DataFrame:
-        """Pairs of classes (a the smaller set) that meet in an open block of a list."""
+        """Pairs of classes (a the smaller set) that have enough keys in common, at positions that allow the overlap."""
         t = self.threshold
-        index = index.repartition("key").dropDuplicates(["key", "cls"])
-        slack = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9)  # n - needed is at most this, for either role
-        a = index.where("small").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.expr(f"at div {BLOCK}").alias("block"))
-        opened = F.sequence(F.expr(f"greatest(0, at - slack) div {BLOCK}"), F.expr(f"(at + slack) div {BLOCK}"))
-        b = index.withColumn("slack", slack).select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.explode(opened).alias("block"))
+        far = F.ceil(F.col("n") * ((1 - t) / t))  # an alike set's entry stands at most this much later
+        ends = F.ceil(F.col("n") / t * (1 - t)) + F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")))) / 4) + COMMON + 1  # and inside its prefix
+        blocks = F.sequence(F.expr(f"at div {BLOCK}"), F.greatest(F.expr(f"at div {BLOCK}"), F.floor(F.least(F.col("at") + far, ends) / BLOCK).cast("int")))
+        # one exchange serves both sides: they keep the same columns, and what only one side must be is said across the join
+        index = index.select("key", "cls", F.when(F.col("small"), F.col("n")).otherwise(-F.col("n")).alias("size"), "at", F.posexplode(blocks).alias("guest", "block"))
+        index = index.where("key is not null and cls is not null and size is not null and at is not null and guest is not null and block is not null")
+        a, b = (index.select("key", "block", *[F.col(c).alias(c + x) for c in ("cls", "size", "at", "guest")]) for x in ("_a", "_b"))
+        met = a.join(b, ["key", "block"]).withColumns({"na": F.abs("size_a"), "nb": F.abs("size_b")})
         needed = _needed_column("na", "nb", t)
-        order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        enough = (F.col("ib") - F.col("ia") <= F.col("nb") - needed) & (F.col("ia") - F.col("ib") <= F.col("na") - needed)
-        return a.join(b, ["key", "block"]).where(order & (F.col("na") >= F.lit(t) * F.col("nb") - 1e-9) & enough).select("a", "b", "na", "nb").distinct()
+        least = F.when(F.col("size_a") > 0, F.col("na")).otherwise(1 << 30)  # only an entry of the smaller kind may be the smaller
+        order = (least < F.col("nb")) | ((least == F.col("nb")) & (F.col("cls_a") < F.col("cls_b")))
+        enough = (F.col("at_b") - F.col("at_a") <= F.col("nb") - needed) & (F.col("at_a") - F.col("at_b") <= F.col("na") - needed)
+        met = met.where((F.least("guest_a", "guest_b") == 0) & order & (F.col("na") >= F.lit(t) * F.col("nb") - 1e-9) & enough)
+        met = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "na", "nb")
+        # a set may send a key from each task that saw a copy of it, so the count is no less than that of distinct keys
+        pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+        return pairs.where(F.col("common") >= _common_keys(F.col("na"))).drop("common")
 
     def _overlaps(self, pairs: DataFrame) -> DataFrame:
         """The pairs with the size of their overlap, counted in full."""

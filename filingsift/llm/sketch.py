@@ -7,6 +7,7 @@ more values fell there. Either overestimates only: a value that occurs twice is
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,16 +31,26 @@ def buckets(values: np.ndarray, bits: int, row: int = 0) -> np.ndarray:
     return ((values * odd) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def _split(ids: np.ndarray, data: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted ids and what belongs to them, by block."""
-    low = min(_BLOCK_BITS, bits)
-    edges = np.searchsorted(ids, np.arange(0, (1 << (bits - low)) + 1, dtype=np.int64) << low)
-    for block in np.flatnonzero(np.diff(edges)):
-        yield int(block), data[edges[block] : edges[block + 1]]
+def _packed_ids(ids: np.ndarray, twice: np.ndarray) -> bytes:
+    """Sorted distinct ids with one flag each: steps between ids in single bytes (255 goes on to the next byte), then the
+    flags as bits."""
+    steps = np.diff(ids.astype(np.int64), prepend=-1)
+    over = steps // 255
+    ends = np.cumsum(over + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = steps % 255
+    return len(out).to_bytes(4, "little") + out.tobytes() + np.packbits(twice).tobytes()
+
+
+def _unpacked_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    steps = np.frombuffer(data, np.uint8, n, 4)
+    ids = (np.cumsum(steps, dtype=np.int64) - 1)[steps != 255]
+    return ids, np.unpackbits(np.frombuffer(data, np.uint8, offset=4 + n), count=len(ids))
 
 
 def partial_repeated(values: Iterable[np.ndarray], bits: int, rows: int = 1) -> Iterator[pa.RecordBatch]:
-    """One task's partial sketches: per block, sorted (bucket << 1 | seen twice), one for each ``FLUSH`` values or so."""
+    """One task's partial sketches: per block, the buckets hit and whether more than once, for each ``FLUSH`` values or so."""
     parts: list[np.ndarray] = []
     held = 0
     for v in values:
@@ -53,15 +64,13 @@ def partial_repeated(values: Iterable[np.ndarray], bits: int, rows: int = 1) ->
 
 
 def _packed(every: np.ndarray, bits: int, rows: int) -> Iterator[pa.RecordBatch]:
-    low = np.uint32((1 << min(_BLOCK_BITS, bits)) - 1)
+    width = 1 << min(_BLOCK_BITS, bits)
     for row in range(rows):
         ids, n = np.unique(buckets(every, bits, row), return_counts=True)
-        packed = ((ids & low) << np.uint32(1)) | (n > 1).astype(np.uint32)
-        blocks, datas = [], []
-        for block, data in _split(ids.astype(np.int64), packed, bits):
-            blocks.append(block + (row << (bits - min(_BLOCK_BITS, bits))))
-            datas.append(data.tobytes())
-        yield _batch(blocks, datas)
+        edges = np.searchsorted(ids, np.arange(0, (1 << bits) + 1, width, dtype=np.int64))
+        blocks = np.flatnonzero(np.diff(edges))
+        datas = [_packed_ids(ids[edges[k] : edges[k + 1]] & np.uint32(width - 1), n[edges[k] : edges[k + 1]] > 1) for k in blocks]
+        yield _batch([int(k) + (row << bits) // width for k in blocks], datas)
 
 
 def partial_counted(values: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
@@ -71,7 +80,7 @@ def partial_counted(values: Iterable[np.ndarray], bits: int) -> Iterator[pa.Reco
         total += np.bincount(buckets(v, bits), minlength=1 << bits).astype(np.uint32)
     width = 1 << min(_BLOCK_BITS, bits)
     blocks = [b for b in range(len(total) // width) if total[b * width : (b + 1) * width].any()]
-    yield _batch(blocks, [total[b * width : (b + 1) * width].tobytes() for b in blocks])
+    yield _batch(blocks, [zlib.compress(total[b * width : (b + 1) * width].tobytes(), 1) for b in blocks])
 
 
 def _batch(blocks: list[int], datas: list[bytes]) -> pa.RecordBatch:
@@ -95,13 +104,13 @@ def counted(partial: DataFrame, bits: int) -> np.ndarray:
     """The merged counters (4 bytes each, saturating)."""
 
     def one(datas: list[bytes]) -> bytes:
-        total = sum(np.frombuffer(d, np.uint32).astype(np.uint64) for d in datas)
-        return np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+        total = sum(np.frombuffer(zlib.decompress(d), np.uint32).astype(np.uint64) for d in datas)
+        return zlib.compress(np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), 1)
 
     out = np.zeros(1 << bits, np.uint32)
     width = 1 << min(_BLOCK_BITS, bits)
     for r in _merged(partial, one).toLocalIterator():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["data"], np.uint32)
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(zlib.decompress(r["data"]), np.uint32)
     return out
 
 
@@ -110,18 +119,20 @@ def repeated(partial: DataFrame, bits: int, rows: int = 1) -> np.ndarray:
     width = 1 << min(_BLOCK_BITS, bits)
 
     def one(datas: list[bytes]) -> bytes:
-        packed = np.concatenate([np.frombuffer(d, np.uint32) for d in datas])
-        n = np.bincount(packed >> np.uint32(1), weights=(packed & np.uint32(1)) + 1, minlength=width)
+        n = np.zeros(width, np.int64)
+        for d in datas:
+            ids, twice = _unpacked_ids(d)
+            n[ids] += twice + np.int64(1)
         ids = np.flatnonzero(n)
-        return ((ids.astype(np.uint32) << np.uint32(1)) | (n[ids] > 1).astype(np.uint32)).tobytes()
+        return _packed_ids(ids, n[ids] > 1)
 
     def bit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             datas = []
             for d in pdf["data"]:
-                packed = np.frombuffer(d, np.uint32)
+                ids, twice = _unpacked_ids(d)
                 flags = np.zeros(width, np.uint8)
-                flags[packed[(packed & 1) == 1] >> np.uint32(1)] = 1
+                flags[ids[twice == 1]] = 1
                 datas.append(np.packbits(flags, bitorder="little").tobytes())
             yield pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "data": datas})
 
