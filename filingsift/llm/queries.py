@@ -86,4 +86,27 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_types, p6_ids, p7_mix, p7_shares, p8_found, p8_coverage)}
-SQL: dict[str, str] = {}
+# White space as SPACE has it, for RE2.
+_WS = "[\\s\\x{000b}\\x{001c}-\\x{001f}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_NWS = "[^" + _WS[1:]
+
+
+def _form(x: str) -> str:
+    return f"regexp_replace(lower(trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))), '[0-9]+', '0', 'g')"
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH f AS (SELECT DISTINCT doc_id, ticker FROM filings WHERE ticker IS NOT NULL),
+c AS (SELECT DISTINCT chunk_id, c.doc_id, f.ticker, text FROM chunks c JOIN f USING (doc_id) WHERE (kind IS NULL OR kind <> 'table') AND text IS NOT NULL),
+l AS (SELECT chunk_id, doc_id, ticker, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM c),
+g AS (SELECT *, {_form('line')} AS form FROM l), n AS (SELECT ticker, count(DISTINCT doc_id) AS docs FROM g WHERE form <> '' GROUP BY ticker),
+h AS (SELECT ticker, form FROM g JOIN n USING (ticker) WHERE regexp_matches(form, '[a-z]') AND form NOT IN (SELECT {_form('heading')} FROM headings) GROUP BY ticker, form HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 20 >= any_value(docs))
+SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM g JOIN h USING (ticker, form)""",
+    "p4_found": f"""SELECT DISTINCT item_id FROM (SELECT chunk_id AS item_id, text FROM chunks UNION ALL SELECT doc_id || ':p' || page_index || ':b' || block_no, text FROM blocks)
+WHERE item_id IS NOT NULL AND len(regexp_extract_all(text, '{_NWS}+')) > 512""",
+    "p5_found": f"""WITH c AS (SELECT DISTINCT chunk_id, coalesce(text, '') AS t FROM chunks WHERE (kind IS NULL OR kind <> 'table') AND chunk_id IS NOT NULL),
+w AS (SELECT chunk_id, t, regexp_extract_all(t, '{_NWS}+') AS w, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_WS}+$', '')), lambda x: x <> '') AS l FROM c),
+s AS (SELECT chunk_id, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS chars, list_sum(list_transform(w, lambda x: length(regexp_replace(x, '[^|#*•…=_~<>^{{}}\\[\\]\\\\@+\\x{{FFFD}}]', '', 'g')))) AS sym, len(l) AS lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?]$'))) AS ended,
+  len(list_filter(w, lambda x: list_contains(cw, regexp_replace(regexp_replace(lower(x), '^[^a-z]+', ''), '[^a-z]+$', '')))) AS com FROM w CROSS JOIN (SELECT list(lower(trim(word))) AS cw FROM common_words WHERE word IS NOT NULL))
+SELECT chunk_id FROM s WHERE n = 0 OR NOT (chars >= 3 * n AND chars <= 9 * n AND ended * 4 >= lines AND sym * 20 <= chars AND com * 5 >= n)""",
+}
