@@ -78,3 +78,21 @@ def carried_over(rows: DataFrame, prior: DataFrame, key: str, fields: list[str])
     old = prior.select(key, *[F.col(f).alias(f"old_{f}") for f in fields])
     out = rows.join(old, key, "left")
     return out.select(*[F.coalesce(f"old_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns])
+
+
+def annual_facts(facts: DataFrame) -> DataFrame:
+    """(ticker, tag, year, val, filed) of facts (ticker, tag, form, fp, start, end, val, filed; dates as text): the latest
+    filed annual value whose period ends in the year; periods with a start must last 350 to 380 days, and of equal filing
+    dates the first period counts."""
+    days = F.datediff(F.to_date("end"), F.to_date("start"))
+    kept = facts.where((F.col("form") == "10-K") & (F.col("fp") == "FY") & (F.col("start").isNull() | days.between(350, 380)))
+    return latest(kept.withColumn("year", F.year(F.to_date("end"))), ["ticker", "tag", "year"], "filed", "end").select("ticker", "tag", "year", "val", "filed")
+
+
+def write_markdown(table: DataFrame, path: str) -> None:
+    """A report table (one row per configuration) as the lines of a markdown table, in the order of its first column."""
+    head = [f"| {' | '.join(table.columns)} |", "|---" * len(table.columns) + "|"]
+    spark = table.sparkSession
+    rows = table.select(F.lit(1).alias("part"), F.col(table.columns[0]).cast("string").alias("key"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in table.columns]), F.lit(" |")).alias("value"))
+    lines = spark.createDataFrame([(0, str(k), v) for k, v in enumerate(head)], "part int, key string, value string").unionByName(rows)
+    lines.orderBy("part", "key").select("value").coalesce(1).write.mode("overwrite").text(path)

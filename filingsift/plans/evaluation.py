@@ -55,6 +55,26 @@ def metrics_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return m.pivoted(_log(spark, folder), "config", "type", ["comparison", "factual", "numeric"], "mrr")
 
 
+def main_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The main report: figures by configuration, as text."""
+    rows = _log(spark, folder)
+    means = rows.groupBy("config").agg(*[F.avg(k).alias(k) for k in m.KEYS if k != "answer_correct"]).join(m.abstention(rows, "config"), "config")
+    names = ["hit5", "recall5", "mrr", "citation_precision", "abstain_precision", "abstain_recall", "false_abstention"]
+    return means.select("config", *[a.shown(F.col(k)).alias(k) for k in names])
+
+
+def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Faithfulness of every logged answer as an offline judge sees it: each number of the answer is a claim, supported if a
+    cited chunk holds it."""
+    rows = m.logged(table(spark, folder, "query_log")).where("answer is not null")
+    cited = rows.select("log_id", "answer", F.explode("good").alias("at"), "retrieved").select("log_id", "answer", F.get("retrieved", (F.col("at") - 1).cast("int"))["chunk_id"].alias("chunk_id"))
+    texts = table(spark, folder, "chunks").where("text is not null").select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    numbers = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(\d[\d,.]*\d|\d)"), F.lit(1)))
+    held = cited.join(texts, "chunk_id").select("log_id", F.explode(numbers).alias("number"), "text").groupBy("log_id", "number").agg(F.bool_or(F.contains("text", "number")).alias("supported"))
+    claims = F.to_json(F.struct(F.collect_list(F.struct(F.col("number").alias("claim"), "supported")).alias("claims")))  # the numbers of one answer
+    return held.groupBy("log_id").agg(claims.alias("judged")).select("log_id", F.round(a.faithfulness(F.try_parse_json("judged")), 6).alias("faithfulness"))
+
+
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Every claim with its label and the verdict that the pages of its sources give."""
     claims = m.once(table(spark, folder, "claims"), "id", "claim")
@@ -116,7 +136,7 @@ def judge_sample(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(kinds, F.col("input") == F.col("question")).select("log_id", "question", "answer").orderBy(F.xxhash64(F.lit(0), "log_id"), "log_id").limit(25)
 
 
-QUERIES = {f.__name__: f for f in (retrieval_metrics, citation_precision, citation_validate, answer_correct, numbers_in_questions, keywords_match, abstention, metrics_rollup, metrics_pivot, claim_verdicts, confusion, class_scores, accuracy_by_perturbation, verdict_kappa, claim_retrieval, ask, verify, judge_sample)}
+QUERIES = {f.__name__: f for f in (retrieval_metrics, citation_precision, citation_validate, answer_correct, numbers_in_questions, keywords_match, abstention, metrics_rollup, metrics_pivot, main_table, judged_answers, claim_verdicts, confusion, class_scores, accuracy_by_perturbation, verdict_kappa, claim_retrieval, ask, verify, judge_sample)}
 
 _LOG = r"""
 l0 AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY arrived_at, ts) AS n FROM query_log WHERE log_id IS NOT NULL),
@@ -155,6 +175,11 @@ SQL = {
     "abstention": f"WITH {_LOG} SELECT config, round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(abstain), 0)::DOUBLE, 6) AS abstain_precision, round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(type = 'unanswerable'), 0)::DOUBLE, 6) AS abstain_recall, round(count_if(type <> 'unanswerable' AND abstain) / nullif(count_if(type <> 'unanswerable'), 0)::DOUBLE, 6) AS false_abstention FROM ev GROUP BY config",
     "metrics_rollup": f"WITH {_LOG} SELECT coalesce(config, '_overall') AS config, coalesce(type, '_overall') AS type, count(*) AS n, {_AVG} FROM (SELECT * REPLACE (coalesce(config, 'none') AS config, coalesce(type, 'none') AS type) FROM ev) GROUP BY ROLLUP (config, type)",
     "metrics_pivot": f"WITH {_LOG} SELECT config, " + ", ".join(f"coalesce(printf('%.3f', avg(mrr) FILTER (type = '{t}')), '–') AS {t}" for t in ("comparison", "factual", "numeric")) + " FROM ev GROUP BY config",
+    "main_table": f"WITH {_LOG} SELECT config, " + ", ".join(f"coalesce(printf('%.3f', avg({k})), '–') AS {k}" for k in ("hit5", "recall5", "mrr", "citation_precision")) + ", coalesce(printf('%.3f', round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(abstain), 0)::DOUBLE, 6)), '–') AS abstain_precision, coalesce(printf('%.3f', round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(type = 'unanswerable'), 0)::DOUBLE, 6)), '–') AS abstain_recall, coalesce(printf('%.3f', round(count_if(type <> 'unanswerable' AND abstain) / nullif(count_if(type <> 'unanswerable'), 0)::DOUBLE, 6)), '–') AS false_abstention FROM ev GROUP BY config",
+    "judged_answers": rf"""WITH {_LOG}, ct AS (SELECT l.log_id, list_distinct(regexp_extract_all(answer, '\d[\d,.]*\d|\d')) AS ns, retrieved[g].chunk_id AS chunk_id FROM (SELECT log_id, answer, retrieved, unnest(good) AS g FROM l WHERE answer IS NOT NULL) l),
+tx AS (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id),
+hn AS (SELECT log_id, n, bool_or(contains(text, n)) AS ok FROM (SELECT log_id, text, unnest(ns) AS n FROM ct JOIN tx USING (chunk_id)) GROUP BY log_id, n)
+SELECT log_id, round(avg(ok::INT), 6) AS faithfulness FROM hn GROUP BY log_id""",
     "claim_verdicts": f"WITH {_CLAIMS} SELECT id, gold, pred FROM vd",
     "confusion": f"WITH {_CLAIMS} SELECT gold, pred, n FROM cf",
     "class_scores": f"""WITH {_CLAIMS}, s0 AS (SELECT label, (SELECT sum(n) FROM cf WHERE gold = label AND pred = label)::DOUBLE AS r, (SELECT sum(n) FROM cf WHERE gold = label)::DOUBLE AS g, (SELECT sum(n) FROM cf WHERE pred = label)::DOUBLE AS p FROM lb),
