@@ -30,7 +30,7 @@ from filingsift.llm.hashing import Ranges, text_slices
 PICK_SHARE = 2 / 3
 #: Buckets of each of the sketch's two rows, as a power of two: 2 x 8 MB of bits.
 SKETCH_BITS, SKETCH_ROWS = 26, 2
-RUNS = "pick long, run long, doc_id {kind}, start int, hashes array<long>"
+RUNS = "pick long, run long, doc_id {kind}, start int, count int, hashes array<long>"
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -111,12 +111,12 @@ def shared_windows(documents: DataFrame, length: int = 240, doc_id: str = "doc_i
                     begins, sizes = begins[kept], sizes[kept]
                     whole = ranges.between(at[begins], at[begins + sizes - 1] + length)
                     hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ranges.between(own, own + length).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(pick[kept].view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(rows[begins])), pa.array(start[begins].astype(np.int32)), hashes], ["pick", "run", "doc_id", "start", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pick[kept].view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(rows[begins])), pa.array(start[begins].astype(np.int32)), pa.array(sizes.astype(np.int32)), hashes], ["pick", "run", "doc_id", "start", "count", "hashes"])
 
     runs = written(docs.mapInArrow(second, RUNS.format(kind=kind.simpleString())), "runs")
     found = runs.groupBy("pick").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), (F.min("run") == F.max("run")).alias("same"))
     found = runs.join(found.where("least < greatest").select("pick", "same"), "pick")
-    whole = found.where("same").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.size("hashes") - 1).alias("last"))
+    whole = found.where("same").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))  # without the hashes
     single = found.where("not same").select("doc_id", "start", F.posexplode("hashes").alias("nth", "hash")).select("hash", "doc_id", (F.col("start") + F.col("nth")).alias("first"))
     repeated = single.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("hash")
     single = single.join(repeated, "hash", "left_semi").select("doc_id", "first", F.col("first").alias("last"))
