@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SPACE = r"\s\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x2000, 45, 0x200A, 0
 TOKEN = "[a-z0-9]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """White-space runs become one space, ends are trimmed."""
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))

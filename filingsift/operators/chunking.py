@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingsift.functions.text import squeezed, word_count, words
+from filingsift.functions.text import let, squeezed, word_count, words
 from filingsift.operators.metrics import once
 
 STRATEGIES = ("fixed", "section", "section_table")
@@ -15,11 +15,14 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words that overlap by ``overlap``, as an array of texts; a text within the size stays as it is
     but for its ends, a null or blank one has no window."""
     step = max(1, size - overlap)
-    w = words(text)
-    count = F.ceil((F.size(w) - size) / step).cast("int") + 1
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.array_join(F.slice(w, k * step + 1, size), " "))
     none = F.array().cast("array<string>")
-    return F.when(text.isNull() | (F.size(w) == 0), none).when(F.size(w) <= size, F.array(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))).otherwise(cut)
+
+    def cut(w: Column) -> Column:
+        count = F.ceil((F.size(w) - size) / step).cast("int") + 1
+        pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.array_join(F.slice(w, k * step + 1, size), " "))
+        return F.when(F.size(w) == 0, none).when(F.size(w) <= size, F.array(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))).otherwise(pieces)
+
+    return F.when(text.isNull(), none).otherwise(let(words(text), cut))
 
 
 def paragraphs(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingsift.functions.shared import written
-from filingsift.functions.text import squeezed, tokens
+from filingsift.functions.text import let, squeezed, tokens
 
 #: BM25 parameters and the rank constant of reciprocal-rank fusion.
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -94,8 +94,7 @@ def filter_members(filters: DataFrame, chunks: DataFrame) -> DataFrame:
 def postings(texts: DataFrame, key: str = "chunk_id", text: str = "embed_text") -> DataFrame:
     """(key, term, tf, dl): the term counts of every text, each key once; a text without tokens has the term ``_``."""
     rows = texts.select(key, text).where(F.col(key).isNotNull()).dropDuplicates([key])
-    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
-    words = F.when(F.size(words) == 0, F.array(F.lit("_"))).otherwise(words)
+    words = let(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), lambda w: F.when(F.size(w) == 0, F.array(F.lit("_"))).otherwise(w))
     rows = rows.select(key, words.alias("words"))  # computed below the explode, so once a text
     return rows.select(key, F.explode("words").alias("term"), F.size("words").alias("dl")).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
