@@ -95,13 +95,42 @@ def _form(x: str) -> str:
     return f"regexp_replace(lower(trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))), '[0-9]+', '0', 'g')"
 
 
-SQL: dict[str, str] = {
-    "p1_found": f"""WITH f AS (SELECT DISTINCT doc_id, ticker FROM filings WHERE ticker IS NOT NULL),
+# Chunks with their class of equal shingle sets (m), classes (k) and alike classes (l). Alike sets share one of their rarest shingles.
+_ALIKE = """WITH t AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE chunk_id IS NOT NULL),
+s AS (SELECT DISTINCT chunk_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS sh FROM t WHERE len(w) >= 30),
+k AS (SELECT sh, len(sh) AS n, row_number() OVER () AS cls FROM (SELECT DISTINCT sh FROM s)), m AS (SELECT chunk_id, cls FROM s JOIN k USING (sh)),
+e AS (SELECT cls, n, g, row_number() OVER (PARTITION BY cls ORDER BY df, g) AS nth FROM (SELECT *, count(*) OVER (PARTITION BY g) AS df FROM (SELECT cls, n, unnest(sh) AS g FROM k))),
+f AS (SELECT cls, g FROM e WHERE nth <= n - ceil(0.7 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.cls AS x, b.cls AS y FROM f a JOIN f b USING (g) WHERE a.cls < b.cls),
+o AS (SELECT x, y, a.n + b.n AS both_n, len(list_intersect(a.sh, b.sh)) AS o FROM c JOIN k a ON a.cls = x JOIN k b ON b.cls = y),
+l AS (SELECT x, y FROM o WHERE o >= 0.7 * (both_n - o) - 1e-9)"""
+_SPANS = """WITH w AS (SELECT doc_id, unnest(range(length(text) - 239)) AS pos, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 240),
+h AS (SELECT doc_id, pos, md5(substring(text, pos + 1, 240)) AS h FROM w), r AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT DISTINCT doc_id, pos FROM h SEMI JOIN r USING (h)),
+g AS (SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 240, true) AS gap FROM s),
+i AS (SELECT doc_id, pos, count_if(gap) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM g),
+spans AS (SELECT doc_id, min(pos)::INT AS span_start, (max(pos) + 240)::INT AS span_end FROM i GROUP BY doc_id, island)"""
+_REPEATED = f"""WITH f AS (SELECT DISTINCT doc_id, ticker FROM filings WHERE ticker IS NOT NULL),
 c AS (SELECT DISTINCT chunk_id, c.doc_id, f.ticker, text FROM chunks c JOIN f USING (doc_id) WHERE (kind IS NULL OR kind <> 'table') AND text IS NOT NULL),
 l AS (SELECT chunk_id, doc_id, ticker, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM c),
 g AS (SELECT *, {_form('line')} AS form FROM l), n AS (SELECT ticker, count(DISTINCT doc_id) AS docs FROM g WHERE form <> '' GROUP BY ticker),
-h AS (SELECT ticker, form FROM g JOIN n USING (ticker) WHERE regexp_matches(form, '[a-z]') AND form NOT IN (SELECT {_form('heading')} FROM headings) GROUP BY ticker, form HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 20 >= any_value(docs))
-SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM g JOIN h USING (ticker, form)""",
+h AS (SELECT ticker, form FROM g JOIN n USING (ticker) WHERE regexp_matches(form, '[a-z]') AND form NOT IN (SELECT {_form('heading')} FROM headings) GROUP BY ticker, form HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 20 >= any_value(docs)),
+found AS (SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM g JOIN h USING (ticker, form))"""
+SQL: dict[str, str] = {
+    "p1_found": f"{_REPEATED} SELECT chunk_id, line_no FROM found",
+    "p1_clean": f"""{_REPEATED}, gone AS (SELECT chunk_id, list(line_no) AS gone FROM found GROUP BY chunk_id),
+u AS (SELECT DISTINCT ON (chunk_id) chunk_id, text, string_split(text, chr(10)) AS lines FROM chunks ORDER BY chunk_id)
+SELECT chunk_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda k: NOT list_contains(gone, k)), lambda k: lines[k]), chr(10)) END AS clean_text FROM u LEFT JOIN gone USING (chunk_id)""",
+    "p3_found": f"""{_ALIKE}, every AS (SELECT x, y FROM l UNION ALL SELECT cls, cls FROM k)
+SELECT DISTINCT least(a.chunk_id, b.chunk_id) AS chunk_id_a, greatest(a.chunk_id, b.chunk_id) AS chunk_id_b FROM every JOIN m a ON a.cls = x JOIN m b ON b.cls = y WHERE a.chunk_id <> b.chunk_id""",
+    "p3_groups": f"""{_ALIKE}, z AS (SELECT cls, min(chunk_id) AS class_id, count(*) AS copies FROM m GROUP BY cls),
+n AS (SELECT a AS cls, sum(copies) AS links FROM (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l) JOIN z ON z.cls = b GROUP BY a),
+d AS (SELECT chunk_id, min(class_id) AS class_id, max(copies) AS copies, max(links) AS links FROM m JOIN z USING (cls) LEFT JOIN n USING (cls) GROUP BY chunk_id)
+SELECT chunk_id, coalesce(class_id, chunk_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(links, 0)::BIGINT AS links FROM (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) LEFT JOIN d USING (chunk_id)""",
+    "p8_found": f"{_SPANS} SELECT * FROM spans",
+    "p8_coverage": f"""{_SPANS}, v AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS shared_chars, count(*) AS spans FROM spans GROUP BY doc_id),
+d AS (SELECT doc_id, max(coalesce(length(text), 0))::INT AS chars FROM documents GROUP BY doc_id)
+SELECT doc_id, chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(spans, 0) AS spans, CASE WHEN chars = 0 THEN 0 ELSE round(coalesce(shared_chars, 0) / chars, 6) END::DOUBLE AS shared_share FROM d LEFT JOIN v USING (doc_id)""",
     "p4_found": f"""SELECT DISTINCT item_id FROM (SELECT chunk_id AS item_id, text FROM chunks UNION ALL SELECT doc_id || ':p' || page_index || ':b' || block_no, text FROM blocks)
 WHERE item_id IS NOT NULL AND len(regexp_extract_all(text, '{_NWS}+')) > 512""",
     "p5_found": f"""WITH c AS (SELECT DISTINCT chunk_id, coalesce(text, '') AS t FROM chunks WHERE (kind IS NULL OR kind <> 'table') AND chunk_id IS NOT NULL),
