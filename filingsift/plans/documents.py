@@ -181,6 +181,28 @@ def _squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_WS}', ' ', 'g'))"
 
 
+def _words_of(x: str) -> str:
+    return f"regexp_extract_all({x}, '[^{_WS[1:-1]}+')"
+
+
+def _label(x: str, patterns: list[str]) -> str:
+    """The first of the patterns' groups that a line holds."""
+    found = ", ".join("nullif(regexp_extract({}, '{}', 1), '')".format(x, p.replace("'", "''")) for p in patterns)
+    return f"coalesce({found}, '')"
+
+
+def _title_like(x: str) -> str:
+    return f"(length(trim({x})) BETWEEN 3 AND 90 AND regexp_matches(trim({x}), '^\\p{{Lu}}') AND NOT regexp_matches(trim({x}), '[.,;]$') AND NOT regexp_matches(trim({x}), '{layout.UNITS}') AND length(regexp_replace(trim({x}), '[^0-9]', '', 'g')) <= floor(length(trim({x})) / 3))"
+
+
+_USPACE = "[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{000b}]"
+_TOC = f"""{_B}, q AS (SELECT *, lower({_squeeze('section')}) AS sec FROM b WHERE trim(section) <> ''),
+v AS (SELECT *, coalesce(lag(sec) OVER (PARTITION BY doc_id ORDER BY page_index, block_no) <> sec, true) AS fresh FROM q),
+marks AS (SELECT doc_id, page_index, block_no, 1 AS level, sec AS title FROM v WHERE fresh UNION ALL SELECT doc_id, page_index, block_no, 2, {_squeeze('title')} FROM v WHERE kind = 'table' AND trim(title) <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, block_no, level) AS nth FROM marks),
+up AS (SELECT *, CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN trim(title) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM n),
+toc AS (SELECT doc_id, nth, page_index AS page, substr(concat_ws(' > ', nullif(parent, ''), trim(title)), 1, 120) AS path FROM up WHERE page_index > 0)"""
+
 SQL = {
     "chunk_fixed": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, l, len(l) AS n, CASE WHEN len(l) <= 512 THEN 1 ELSE ceil((len(l) - 512) / 448.0)::INT + 1 END AS m FROM w WHERE len(l) > 0),
@@ -197,4 +219,62 @@ SELECT doc_id, page_index, block_no, arg_max(section, n) AS section, count(h) AS
     "find_units": f"""WITH {_B} SELECT doc_id, page_index, block_no, coalesce('in ' || coalesce(nullif(lower(regexp_extract(title, '(?i)\\((?:dollars |\\$ )?in (millions|billions|thousands)[^)]*\\)', 1)), ''), nullif(lower(regexp_extract(text, '(?i)\\((?:dollars |\\$ )?in (millions|billions|thousands)[^)]*\\)', 1)), '')), '') AS units FROM b WHERE kind = 'table'""",
     "ruled_tables": f"""WITH {_B}, r AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*\\|')) AS l FROM b WHERE kind = 'table')
 SELECT doc_id, page_index, block_no, coalesce(len(l) - 1 >= 3 AND len(string_split(l[1], '|')) - 2 >= 2 AND len(regexp_extract_all(text, '<br>')) <= 5 AND NOT regexp_matches(text, '\\|Col\\d'), false) AS ruled FROM r""",
+    "chunk_pack": f"""WITH RECURSIVE c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunks WHERE kind = 'text' AND text IS NOT NULL ORDER BY chunk_id),
+p AS (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array(text, '\\n[\\s\\x{{000b}}]*\\n'), lambda x: regexp_replace(x, '^{_USPACE}+|{_USPACE}+$', '', 'g')), lambda x: x <> '') AS paras FROM c),
+r AS (SELECT chunk_id, unnest(paras) AS para, unnest(range(1, len(paras) + 1)) AS i FROM p), w AS (SELECT chunk_id, i, {_words_of('para')} AS w FROM r),
+f AS (SELECT chunk_id, 0::BIGINT AS i, 0::BIGINT AS piece, -1::BIGINT AS last, false AS open, 0::BIGINT AS tok FROM p UNION ALL
+  SELECT chunk_id, w.i, CASE WHEN len(w) > 64 OR NOT open OR tok + len(w) > 64 THEN last + 1 ELSE last END, CASE WHEN len(w) > 64 THEN last + (len(w) + 63) // 64 WHEN NOT open OR tok + len(w) > 64 THEN last + 1 ELSE last END,
+  len(w) <= 64, CASE WHEN len(w) > 64 THEN 0 WHEN open AND tok + len(w) <= 64 THEN tok + len(w) ELSE len(w) END FROM f JOIN w USING (chunk_id) WHERE w.i = f.i + 1),
+o AS (SELECT chunk_id, piece, i, w FROM f JOIN w USING (chunk_id, i) WHERE len(w) <= 64 UNION ALL SELECT chunk_id, piece + k, i, w[k * 64 + 1 : k * 64 + 64] FROM (SELECT chunk_id, piece, i, w, unnest(range((len(w) + 63) // 64)) AS k FROM f JOIN w USING (chunk_id, i) WHERE len(w) > 64)),
+g AS (SELECT chunk_id, piece, flatten(list(w ORDER BY i)) AS w FROM o GROUP BY chunk_id, piece)
+SELECT chunk_id, piece::INT AS piece, len(w)::INT AS words, md5(array_to_string(w, ' ')) AS md5 FROM g""",
+    "chunk_table_split": f"""WITH RECURSIVE {_B}, t AS (SELECT doc_id, page_index, block_no, text, CASE WHEN coalesce(title, '') <> '' THEN 'Table: ' || title ELSE 'Table' END || CASE WHEN coalesce(units, '') <> '' THEN ' (' || units || ')' ELSE '' END || chr(10) AS prefix, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM b WHERE kind = 'table' AND text IS NOT NULL),
+u AS (SELECT *, len({_words_of('prefix || text')}) <= 64 OR len(lines) <= 3 AS whole, {_words_of("prefix || array_to_string(lines[1:2], chr(10))")} AS head FROM t),
+r AS (SELECT doc_id, page_index, block_no, head, unnest(lines[3:]) AS line, unnest(range(1, len(lines) - 1)) AS i FROM u WHERE NOT whole), w AS (SELECT * EXCLUDE (line), {_words_of('line')} AS w FROM r),
+f AS (SELECT doc_id, page_index, block_no, i, 0::BIGINT AS piece, (len(w) + 1)::BIGINT AS tok FROM w WHERE i = 1 UNION ALL
+  SELECT doc_id, page_index, block_no, w.i, CASE WHEN len(head) + tok + len(w) + 1 > 64 THEN piece + 1 ELSE piece END, CASE WHEN len(head) + tok + len(w) + 1 > 64 THEN len(w) + 1 ELSE tok + len(w) + 1 END FROM f JOIN w USING (doc_id, page_index, block_no) WHERE w.i = f.i + 1),
+g AS (SELECT doc_id, page_index, block_no, piece, list_concat(any_value(head), flatten(list(w ORDER BY i))) AS w FROM f JOIN w USING (doc_id, page_index, block_no, i) GROUP BY ALL
+  UNION ALL SELECT doc_id, page_index, block_no, 0, {_words_of('prefix || text')} FROM u WHERE whole)
+SELECT doc_id, page_index, block_no, piece::INT AS piece, len(w)::INT AS words, md5(array_to_string(w, ' ')) AS md5 FROM g""",
+    "chunk_page_windows": f"""WITH {_B}, p AS (SELECT doc_id, page_index, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY block_no) AS body, list(section ORDER BY block_no DESC)[1] AS section FROM b WHERE page_index IS NOT NULL AND block_no IS NOT NULL GROUP BY doc_id, page_index),
+w AS (SELECT *, {_words_of('body')} AS w FROM p), m AS (SELECT *, CASE WHEN len(w) <= 512 THEN 1 ELSE (len(w) - 512 + 447) // 448 + 1 END AS many FROM w WHERE len(w) > 0), k AS (SELECT *, unnest(range(many)) AS piece FROM m),
+t AS (SELECT doc_id, page_index, section, piece, CASE WHEN len(w) <= 512 THEN regexp_replace(body, '^{_USPACE}+|{_USPACE}+$', '', 'g') ELSE array_to_string(w[piece * 448 + 1 : piece * 448 + 512], ' ') END AS text FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY piece) - 1 AS i FROM t WHERE trim(text) <> ''),
+d AS (SELECT DISTINCT ON (doc_id) doc_id, {_squeeze('bank')} AS bank, ticker, fiscal_year FROM filings ORDER BY doc_id, source_url NULLS FIRST)
+SELECT doc_id || ':p' || page_index || ':c' || i AS chunk_id, doc_id, bank, ticker, fiscal_year, page_index, page_index::VARCHAR AS page_label, section, 'text' AS kind, text,
+'[' || coalesce(bank, '') || ' | FY' || coalesce(fiscal_year::VARCHAR, '') || ' | ' || coalesce(nullif(section, ''), 'n/a') || ' | p. ' || page_index || ']' || chr(10) || text AS embed_text FROM n JOIN d USING (doc_id)""",
+    "page_label": f"""WITH {_B}, p AS (SELECT doc_id, page_index, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY block_no) AS text FROM b GROUP BY doc_id, page_index),
+l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM p),
+t AS (SELECT *, list_reverse(lines[greatest(len(lines) - 2, 1):]) AS tail FROM l)
+SELECT doc_id, page_index, coalesce(list_filter(list_transform(list_concat(tail, lines[1:3]), lambda x: {_label('x', layout.LABELS)}), lambda x: x <> '')[1], list_filter(list_transform(tail, lambda x: {_label('x', layout.TAIL_LABELS)}), lambda x: x <> '')[1], page_index::VARCHAR) AS label FROM t""",
+    "toc_paths": f"WITH {_TOC} SELECT doc_id, nth, page, path FROM toc",
+    "toc_asof": f"""WITH {_TOC}, pages AS (SELECT DISTINCT doc_id, page_index FROM chunks WHERE doc_id IS NOT NULL AND page_index IS NOT NULL)
+SELECT p.doc_id, p.page_index, coalesce(arg_max(path, nth), '') AS path FROM pages p LEFT JOIN toc t ON t.doc_id = p.doc_id AND t.page <= p.page_index GROUP BY p.doc_id, p.page_index""",
+    "title_lookup": f"""WITH {_B}, a AS (SELECT *, coalesce(list(coalesce(text, '')) FILTER (WHERE coalesce(kind, 'text') <> 'table') OVER (PARTITION BY doc_id, page_index ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS above FROM b),
+l AS (SELECT *, list_transform(above, lambda t: list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) AS full_lines FROM a WHERE kind = 'table'),
+n AS (SELECT *, list_filter(list_transform(list_filter(full_lines[greatest(len(above) - 3, 1):], lambda f: len(f) = 1), lambda f: f[1]), lambda x: {_title_like('x')}) AS single, flatten(full_lines[greatest(len(above) - 2, 1):]) AS flat FROM l),
+o AS (SELECT *, list_filter(flat[greatest(len(flat) - 11, 1):], lambda x: {_title_like('x')}) AS near FROM n)
+SELECT doc_id, page_index, block_no, coalesce(trim(CASE WHEN len(single) > 0 THEN single[len(single)] WHEN len(near) > 0 THEN near[len(near)] END), '') AS found_title FROM o""",
+    "gap_paragraphs": f"""WITH {_B}, l AS (SELECT doc_id, page_index, block_no, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM b WHERE coalesce(kind, 'text') <> 'table' AND text IS NOT NULL),
+n AS (SELECT concat_ws(':', doc_id, page_index) AS page, line, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_no, k) AS n FROM l),
+h AS (SELECT page, line, n, n * 12.0 AS y0, n * 12.0 + 10 AS y1 FROM n WHERE trim(line) <> ''),
+g AS (SELECT *, coalesce(y0 - lag(y1) OVER w > 0.45 * greatest(lag(y1) OVER w - lag(y0) OVER w, 1), true) AS fresh FROM h WINDOW w AS (PARTITION BY page ORDER BY n)),
+q AS (SELECT *, count_if(fresh) OVER (PARTITION BY page ORDER BY n ROWS UNBOUNDED PRECEDING) AS paragraph FROM g)
+SELECT page, paragraph::BIGINT AS paragraph, min(y0)::DOUBLE AS y, (sum(length(line)) + count(*) - 1)::INT AS chars FROM q GROUP BY page, paragraph""",
+    # the box is as wide as all words of its table, so that heights alone decide
+    "box_overlap": f"""WITH {_B}, l AS (SELECT concat_ws(':', doc_id, page_index, block_no) AS page, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[\\s\\x{{000b}}|:\\-]*$')) AS lines FROM b WHERE kind = 'table' AND text IS NOT NULL),
+r AS (SELECT page, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM l), c AS (SELECT page, nth, trim(unnest(string_split(regexp_replace(line, '^\\s*\\||\\|\\s*$', '', 'g'), '|'))) AS cell FROM r),
+w AS (SELECT page, 100 + nth * 14.0 AS y0, 110 + nth * 14.0 AS y1, unnest(regexp_split_to_array(cell, '[\\s\\x{{000b}}]+')) AS word FROM c WHERE cell <> ''),
+x AS (SELECT page, (min(y0) + max(y1)) / 2 AS by0, max(y1) AS by1 FROM w WHERE y1 >= 40 AND y0 <= 9955 GROUP BY page)
+SELECT page, count(*) AS words FROM w JOIN x USING (page) WHERE y1 >= 40 AND y0 <= 9955 AND y1 > by0 AND y0 < by1 GROUP BY page""",
+    "reading_order": f"""WITH {_B}, p AS (SELECT *, concat_ws(':', doc_id, page_index) AS page FROM b WHERE y IS NOT NULL),
+x AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY block_no) AS nth, y, block_no::VARCHAR AS text FROM p WHERE coalesce(kind, 'text') <> 'table'),
+t AS (SELECT t.page, t.y, t.block_no::VARCHAR AS text, min(x.nth) AS nth FROM p t LEFT JOIN x ON x.page = t.page AND x.y > t.y WHERE t.kind = 'table' GROUP BY ALL),
+a AS (SELECT page, coalesce(nth, 1 << 30) AS nth, 0 AS side, 'table' AS kind, y, text FROM t UNION ALL SELECT page, nth, 1, 'text', y, text FROM x)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY nth, side, y)::INT AS place, kind, y, text FROM a""",
+    "highlight_needles": """WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text, string_split(text, chr(10)) AS l FROM chunks WHERE text IS NOT NULL ORDER BY chunk_id),
+n AS (SELECT chunk_id, CASE WHEN starts_with(ltrim(text), 'Table') THEN list_filter(flatten(list_transform(l[2:], lambda x: list_transform(string_split(regexp_replace(trim(x), '^\\|+|\\|+$', '', 'g'), '|'), lambda y: trim(y)))), lambda y: length(y) >= 4 AND NOT regexp_matches(y, '^[-: ]*$'))
+  ELSE list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '[\\s\\x{000b}]+', ' ', 'g'))), lambda x: length(x) >= 12) END AS found FROM c),
+d AS (SELECT chunk_id, list_filter(found, lambda x, i: list_position(found, x) = i) AS found FROM n)
+SELECT chunk_id, len(found)::INT AS needles, md5(array_to_string(found, '|')) AS md5 FROM d""",
 }
