@@ -203,7 +203,37 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, bloc
 up AS (SELECT *, CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN trim(title) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM n),
 toc AS (SELECT doc_id, nth, page_index AS page, substr(concat_ws(' > ', nullif(parent, ''), trim(title)), 1, 120) AS path FROM up WHERE page_index > 0)"""
 
+
+def _packed(size: int, tables: str) -> str:
+    """Chunks of pages as SQL: paragraphs packed between tables, which are split on their own (``tables`` says which blocks are tables)."""
+    page = "doc_id, page_index"
+    return f"""WITH RECURSIVE {_B}, v AS (SELECT * REPLACE (coalesce(text, '') AS text), {tables} AS tab FROM b WHERE page_index IS NOT NULL AND block_no IS NOT NULL),
+z AS (SELECT *, count_if(tab) OVER (PARTITION BY {page} ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS run FROM v),
+p AS (SELECT {page}, run, block_no, section, list_filter(list_transform(regexp_split_to_array(text, '\\n[\\s\\x{{000b}}]*\\n'), lambda x: regexp_replace(x, '^{_USPACE}+|{_USPACE}+$', '', 'g')), lambda x: x <> '') AS paras FROM z WHERE NOT tab),
+u AS (SELECT {page}, run, block_no, section, unnest(paras) AS para, unnest(range(len(paras))) AS k FROM p),
+w AS (SELECT *, {_words_of('para')} AS w, row_number() OVER (PARTITION BY {page}, run ORDER BY block_no, k) AS i FROM u),
+f AS (SELECT DISTINCT {page}, run, 0::BIGINT AS i, 0::BIGINT AS piece, -1::BIGINT AS last, false AS open, 0::BIGINT AS tok FROM w UNION ALL
+  SELECT {page}, run, w.i, CASE WHEN len(w) > {size} OR NOT open OR tok + len(w) > {size} THEN last + 1 ELSE last END, CASE WHEN len(w) > {size} THEN last + (len(w) + {size - 1}) // {size} WHEN NOT open OR tok + len(w) > {size} THEN last + 1 ELSE last END,
+  len(w) <= {size}, CASE WHEN len(w) > {size} THEN 0 WHEN open AND tok + len(w) <= {size} THEN tok + len(w) ELSE len(w) END FROM f JOIN w USING ({page}, run) WHERE w.i = f.i + 1),
+o AS (SELECT {page}, run, piece, i, section, para FROM f JOIN w USING ({page}, run, i) WHERE len(w) <= {size} UNION ALL
+  SELECT {page}, run, piece + j, i, section, array_to_string(w[j * {size} + 1 : j * {size} + {size}], ' ') FROM (SELECT {page}, run, piece, i, section, w, unnest(range((len(w) + {size - 1}) // {size})) AS j FROM f JOIN w USING ({page}, run, i) WHERE len(w) > {size})),
+texts AS (SELECT {page}, run, 1 AS part, piece, list(section ORDER BY i)[1] AS section, 'text' AS kind, string_agg(para, chr(10) || chr(10) ORDER BY i) AS text FROM o GROUP BY {page}, run, piece),
+t AS (SELECT {page}, run, section, text, CASE WHEN coalesce(title, '') <> '' THEN 'Table: ' || title ELSE 'Table' END || CASE WHEN coalesce(units, '') <> '' THEN ' (' || units || ')' ELSE '' END || chr(10) AS prefix, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM z WHERE tab),
+h AS (SELECT *, len({_words_of('prefix || text')}) <= {size} OR len(lines) <= 3 AS whole, prefix || array_to_string(lines[1:2], chr(10)) AS head FROM t),
+r AS (SELECT {page}, run, section, head, unnest(lines[3:]) AS line, unnest(range(1, len(lines) - 1)) AS i FROM h WHERE NOT whole), x AS (SELECT *, len({_words_of('head')}) AS base, len({_words_of('line')}) + 1 AS n FROM r),
+y AS (SELECT {page}, run, i, 0::BIGINT AS piece, n::BIGINT AS tok FROM x WHERE i = 1 UNION ALL
+  SELECT {page}, run, x.i, CASE WHEN base + tok + n > {size} THEN piece + 1 ELSE piece END, CASE WHEN base + tok + n > {size} THEN n ELSE tok + n END FROM y JOIN x USING ({page}, run) WHERE x.i = y.i + 1),
+every AS (SELECT * FROM texts UNION ALL SELECT {page}, run, 0, 0, section, 'table', prefix || text FROM h WHERE whole UNION ALL
+  SELECT {page}, run, 0, piece, section, 'table', head || chr(10) || string_agg(line, chr(10) ORDER BY i) FROM y JOIN x USING ({page}, run, i) GROUP BY {page}, run, piece, section, head),
+n AS (SELECT *, row_number() OVER (PARTITION BY {page} ORDER BY run, part, piece) - 1 AS i FROM every WHERE trim(text) <> ''),
+d AS (SELECT DISTINCT ON (doc_id) doc_id, {_squeeze('bank')} AS bank, ticker, fiscal_year FROM filings ORDER BY doc_id, source_url NULLS FIRST)
+SELECT doc_id || ':p' || page_index || ':c' || i AS chunk_id, doc_id, bank, ticker, fiscal_year, page_index, page_index::VARCHAR AS page_label, section, kind, text,
+'[' || coalesce(bank, '') || ' | FY' || coalesce(fiscal_year::VARCHAR, '') || ' | ' || coalesce(nullif(section, ''), 'n/a') || ' | p. ' || page_index || ']' || chr(10) || text AS embed_text FROM n JOIN d USING (doc_id)"""
+
+
 SQL = {
+    "chunk_pages": _packed(512, "coalesce(kind = 'table', false)"),
+    "chunk_sections": _packed(512, "false"),
     "chunk_fixed": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, l, len(l) AS n, CASE WHEN len(l) <= 512 THEN 1 ELSE ceil((len(l) - 512) / 448.0)::INT + 1 END AS m FROM w WHERE len(l) > 0),
 p AS (SELECT doc_id, l, unnest(range(m)) AS piece FROM m)
