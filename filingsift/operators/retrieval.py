@@ -118,15 +118,23 @@ def bm25(queries: DataFrame, index: DataFrame, k: int, members: DataFrame | None
     mean = idf.groupBy("filter_id").agg(F.avg("idf").alias("mean_idf"))
     terms = asked.join(idf, ["filter_id", "term"]).join(mean, "filter_id")
     weight = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")) * F.col("qf")
-    terms = terms.select("query_id", "filter_id", "term", "avgdl", weight.alias("weight"))
+    # written, so that its size is known and the smaller side of the join with the postings is built, never the postings
+    terms = written(terms.select("query_id", "filter_id", "term", "avgdl", weight.alias("weight")), "terms")
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(index, ["filter_id", "term"]).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-    positive = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("found"))
+    def scored(of: DataFrame) -> DataFrame:
+        return of.join(index, ["filter_id", "term"]).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+
+    order = (F.desc("score"), F.col(key))
+    best = written(top(scored(terms), k, *order), "best")  # k rows a query
+    positive = best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("found"))
     short = queries.select("query_id", "filter_id").join(positive, "query_id", "left").where(F.coalesce("found", F.lit(0)) < k).drop("found")
+    if short.isEmpty():
+        return best
     # queries with too few hits take the first texts of their filter that match nothing
-    idle = short.join(index.select("filter_id", key).distinct(), "filter_id").join(scored.select("query_id", key), ["query_id", key], "left_anti")
+    matched = scored(terms.join(short.select("query_id"), "query_id", "left_semi")).select("query_id", key)
+    idle = short.join(index.select("filter_id", key).distinct(), "filter_id").join(matched, ["query_id", key], "left_anti")
     idle = top(idle.select("query_id", key), k, F.col(key)).select("query_id", key, F.lit(0.0).alias("score"))
-    return top(scored.unionByName(idle), k, F.desc("score"), F.col(key))
+    return top(best.drop("rank").unionByName(idle), k, *order)
 
 
 # ---- vectors
