@@ -23,9 +23,9 @@ QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
 HASH_DIM = 256
 
 
-def top(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
+def top(scored: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The first k rows of each query, with their 1-based ``rank``; ``order`` must be total."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
 # ---- filters
@@ -99,8 +99,9 @@ def postings(texts: DataFrame, key: str = "chunk_id", text: str = "embed_text")
     return rows.select(key, F.explode("words").alias("term"), F.size("words").alias("dl")).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, members: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank): the k best texts of each query under Okapi BM25.
+def bm25(queries: DataFrame, index: DataFrame, k: int, members: DataFrame | None = None, key: str = "chunk_id", owner: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the k best texts of each query under Okapi BM25, with ``owner`` (key, owner) those of
+    each query and owner, the statistics being those of all texts; then there is a column owner.
 
     ``queries`` has query_id and text, and with ``members`` (filter_id, key) also filter_id: then statistics are those of the
     filter's texts alone. Repeated query terms count again, ties keep the order of the key, and where fewer than k texts have
@@ -121,20 +122,31 @@ def bm25(queries: DataFrame, index: DataFrame, k: int, members: DataFrame | None
     # written, so that its size is known and the smaller side of the join with the postings is built, never the postings
     terms = written(terms.select("query_id", "filter_id", "term", "avgdl", weight.alias("weight")), "terms")
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    of_owner = () if owner is None else ("owner",)
+    by = ("query_id", *of_owner)
+
+    def owned(of: DataFrame) -> DataFrame:
+        return of if owner is None else of.join(owner.select(key, "owner"), key)
+
     def scored(of: DataFrame) -> DataFrame:
         return of.join(index, ["filter_id", "term"]).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
 
     order = (F.desc("score"), F.col(key))
-    best = written(top(scored(terms), k, *order), "best")  # k rows a query
-    positive = best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("found"))
-    short = queries.select("query_id", "filter_id").join(positive, "query_id", "left").where(F.coalesce("found", F.lit(0)) < k).drop("found")
+    best = written(top(owned(scored(terms)), k, *order, by=by), "best")  # k rows a query, or a query and owner
+    positive = best.where("score > 0").groupBy(*by).agg(F.count("*").alias("found"))
+    short = queries.select("query_id", "filter_id")
+    if owner is not None:  # an owner with fewer than k texts in all has nothing to fill up with
+        sizes = owned(index.select("filter_id", key).distinct()).groupBy("filter_id", "owner").agg(F.count("*").alias("texts"))
+        short = short.join(sizes, "filter_id")
+    wanted = F.lit(k) if owner is None else F.least("texts", F.lit(k))
+    short = short.join(positive, [*by], "left").where(F.coalesce("found", F.lit(0)) < wanted).select("filter_id", *by)
     if short.isEmpty():
         return best
-    # queries with too few hits take the first texts of their filter that match nothing
+    # queries with too few hits take the first texts of their filter (and owner) that match nothing
     matched = scored(terms.join(short.select("query_id"), "query_id", "left_semi")).select("query_id", key)
-    idle = short.join(index.select("filter_id", key).distinct(), "filter_id").join(matched, ["query_id", key], "left_anti")
-    idle = top(idle.select("query_id", key), k, F.col(key)).select("query_id", key, F.lit(0.0).alias("score"))
-    return top(best.drop("rank").unionByName(idle), k, *order)
+    idle = short.join(owned(index.select("filter_id", key).distinct()), ["filter_id", *of_owner]).join(matched, ["query_id", key], "left_anti")
+    idle = top(idle.select(*by, key), k, F.col(key), by=by).select(*by, key, F.lit(0.0).alias("score"))
+    return top(best.drop("rank").unionByName(idle), k, *order, by=by)
 
 
 # ---- vectors
@@ -256,10 +268,10 @@ def reranked(hits: DataFrame, queries: DataFrame, texts: DataFrame, k: int, key:
     return top(rows.withColumn("score", F.round(share, 6)), k, F.desc("score"), F.col("first_rank")).select("query_id", key, "score", "rank")
 
 
-def balanced(hits: DataFrame, owner: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """Up to k hits of each owner (say, bank) of a query's hits, so that a comparison sees every side."""
-    rows = hits.join(owner, key)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "owner").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+def balanced(queries: DataFrame, index: DataFrame, owner: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """The k best texts of each owner (say, bank) for each query under BM25, so that a comparison sees every side: each owner
+    is ranked among its own texts, however many of another's score higher. ``owner`` has key and owner, each key once."""
+    return bm25(queries, index, k, key=key, owner=owner)
 
 
 def substring_search(chunks: DataFrame, phrase: str, n: int, ticker: str | None = None, year: int | None = None) -> DataFrame:

@@ -101,9 +101,8 @@ def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def balanced_topk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = r.bm25(asked(spark, folder), _index(spark, folder), CANDIDATES)
     owner = _chunks(spark, folder).select("chunk_id", F.regexp_extract("doc_id", "^([^_]*)", 1).alias("owner")).distinct()
-    return r.balanced(hits, owner, 2).select("query_id", "owner", "chunk_id", "score", "rank")
+    return r.balanced(asked(spark, folder), _index(spark, folder), owner, 2).select("query_id", "owner", "chunk_id", "score", "rank")
 
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, detect_filter, filter_fallback, filter_isin, substring_search, dense_topk, dense_filtered_topk, hash_embed, hybrid_topk, rerank_topk, balanced_topk)}

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from filingsift.operators import retrieval as r
+from filingsift.plans import retrieval as plans
 
 
 def brute_bm25(texts, query, k):
@@ -36,6 +37,26 @@ def test_bm25_of_empty_tables(spark):
     assert r.bm25(q.where("false"), r.postings(df), 3).count() == 0
 
 
+def test_balanced_sees_every_owner(spark):
+    texts = [(f"big{i:02}", "capital ratio ratio") for i in range(40)] + [("small0", "the ratio of one small bank among many others"), ("small1", "none"), ("tiny0", "other words")]
+    index = r.postings(spark.createDataFrame(texts, "chunk_id string, embed_text string"))
+    owner = spark.createDataFrame([(i, re.sub("[0-9]", "", i)) for i, _ in texts], "chunk_id string, owner string")
+    q = spark.createDataFrame([("q", "capital ratio of one bank"), ("z", "unheard")], "query_id string, text string")
+    got = {(x.query_id, x.owner, x["rank"]): (x.chunk_id, x.score) for x in r.balanced(q, index, owner, 2).collect()}
+    for query, text in (("q", "capital ratio of one bank"), ("z", "unheard")):
+        want = {}
+        for i, score in brute_bm25(dict(texts).items(), text, len(texts)):
+            want.setdefault(re.sub("[0-9]", "", i), []).append((i, score))
+        assert {k[1:]: v for k, v in got.items() if k[0] == query} == {(o, n + 1): x for o, xs in want.items() for n, x in enumerate(xs[:2])}
+
+
+def test_balanced_query_reaches_below_the_candidates(spark, tmp_path):
+    rows = [(f"AA_1:p1:c{i:02}", "AA_1", "Alder capital ratio ratio") for i in range(40)] + [("BB_1:p1:c0", "BB_1", "Brack: one mention of the ratio among many other words")]
+    spark.createDataFrame(rows, "chunk_id string, doc_id string, embed_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("q50", "capital ratio")], "id string, question string").write.parquet(f"{tmp_path}/questions.parquet")
+    assert {x.owner for x in plans.balanced_topk(spark, str(tmp_path)).collect()} == {"AA", "BB"}
+
+
 def test_filters(spark):
     alias = spark.createDataFrame([("wells fargo", "WFC"), ("wells", "WFC"), ("citi", "C")], "alias string, ticker string")
     q = spark.createDataFrame([("1", "Wells Fargo in 2024 and 2023?"), ("2", "cities in 1999"), ("3", None), ("4", "CITI, 2031")], "query_id string, text string")
