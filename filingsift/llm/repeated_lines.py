@@ -1,8 +1,9 @@
 """Problem 1: lines repeated across the documents of one source.
 
 Method: PrefixSpan over the line-identifier sequences of each source. The frequent single lines of a source come first;
-then each frequent sequence is grown by the lines that follow its occurrences (its projected database), as long as enough
-distinct documents hold the longer one. Every occurrence of a frequent sequence, single lines included, is deleted. A line
+then each frequent sequence is grown by the frequent lines at any later place of the chunks that hold it (its projected
+database: what is left of each chunk after the first place where the sequence is complete), until no longer one is held by
+enough distinct documents. Lines between are no part of a sequence. Every occurrence of a frequent sequence, single lines included, is deleted. A line
 of a frequent sequence is itself frequent, since support can only fall as a sequence grows; so longer sequences show what
 belongs together and the single lines already bound what is deleted.
 
@@ -21,8 +22,6 @@ from filingsift.functions.text import squeezed
 
 #: A sequence is frequent in at least so many distinct documents, and in this share of the source's documents.
 LEAST_DOCUMENTS, LEAST_SHARE = 4, 0.05
-#: Lines of the longest sequence that is grown.
-LONGEST = 4
 
 
 def form(line: Column) -> Column:
@@ -48,29 +47,33 @@ def _frequent(held: DataFrame, key: str, sizes: DataFrame, least: int, share: fl
     return support.where(F.col("support") >= least).join(sizes, "source").where(F.col("support") >= F.lit(share) * F.col("documents") - 1e-9).drop("documents")
 
 
-def frequent_sequences(lines: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def frequent_sequences(lines: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
     """(patterns, occurrences) of ``sequences``.
 
     patterns: source, pattern (an identifier), items (the lines' identifiers in order), support; occurrences: source,
-    pattern, doc_id, chunk_id, first, last (line numbers). Lines of a sequence follow each other directly in a chunk.
+    pattern, doc_id, chunk_id, at (line numbers). Other lines may stand between the lines of a sequence. A single line has an
+    occurrence wherever it stands, a longer sequence one in each chunk: at the first place where it is complete.
     """
     sizes = lines.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"))
     held = lines.where("item is not null")
     singles = _frequent(held, "item", sizes, least, share)
     single = written(held.join(singles.select("source", "item"), ["source", "item"]).distinct(), "lines")
     patterns = [singles.select("source", F.col("item").alias("pattern"), F.array("item").alias("items"), "support")]
-    found = [single.select("source", F.col("item").alias("pattern"), "doc_id", "chunk_id", F.col("line_no").alias("first"), F.col("line_no").alias("last"))]
-    last = found[0].withColumn("items", F.array("pattern"))
-    for _ in range(longest - 1):
-        after = single.select("source", "doc_id", "chunk_id", (F.col("line_no") - 1).alias("last"), "item")
-        grown = last.join(after, ["source", "doc_id", "chunk_id", "last"]).select("source", F.xxhash64("pattern", "item").alias("pattern"), "doc_id", "chunk_id", "first", (F.col("last") + 1).alias("last"), F.concat("items", F.array("item")).alias("items"))
+    found = [single.select("source", F.col("item").alias("pattern"), "doc_id", "chunk_id", F.array("line_no").alias("at"))]
+    chunk = ["source", "doc_id", "chunk_id"]
+    last = single.groupBy(*chunk, F.col("item").alias("pattern")).agg(F.min("line_no").alias("last")).select("*", F.array("pattern").alias("items"), F.array("last").alias("at"))
+    while True:
+        after = last.join(single, chunk).where("line_no > last")
+        grown = after.groupBy(*chunk, "pattern", "item").agg(F.min("line_no").alias("next"), F.first("items").alias("items"), F.first("at").alias("at"))
+        grown = grown.select(*chunk, F.xxhash64("pattern", "item").alias("pattern"), F.col("next").alias("last"), F.concat("items", F.array("item")).alias("items"), F.concat("at", F.array("next")).alias("at"))
+        grown = written(grown, "grown")
         kept = _frequent(grown, "pattern", sizes, least, share)
         last = written(grown.join(kept, ["source", "pattern"]), "sequences")
-        patterns.append(last.select("source", "pattern", "items", "support").distinct())
-        found.append(last.drop("items", "support"))
-        last = last.drop("support")
         if last.isEmpty():
             break
+        patterns.append(last.select("source", "pattern", "items", "support").distinct())
+        found.append(last.select("source", "pattern", "doc_id", "chunk_id", "at"))
+        last = last.drop("support")
     every, occurrences = patterns[0], found[0]
     for p, o in zip(patterns[1:], found[1:]):
         every, occurrences = every.unionByName(p), occurrences.unionByName(o)
@@ -86,7 +89,7 @@ def repeated_lines(chunks: DataFrame, documents: DataFrame, exempt: DataFrame, l
     """
     lines = written(sequences(chunks, documents, exempt), "sequences")
     _, occurrences = frequent_sequences(lines, least, share)
-    return occurrences.select("chunk_id", F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
+    return occurrences.select("chunk_id", F.explode("at").alias("line_no")).distinct()
 
 
 def without_lines(chunks: DataFrame, lines: DataFrame) -> DataFrame:
