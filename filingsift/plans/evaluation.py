@@ -65,12 +65,13 @@ def main_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Faithfulness of every logged answer as an offline judge sees it: each number of the answer is a claim, supported if a
-    cited chunk holds it."""
+    cited chunk holds it, and unsupported where none is cited or known. An answer without numbers claims nothing: no row."""
     rows = m.logged(table(spark, folder, "query_log")).where("answer is not null")
-    cited = rows.select("log_id", "answer", F.explode("good").alias("at"), "retrieved").select("log_id", "answer", F.get("retrieved", (F.col("at") - 1).cast("int"))["chunk_id"].alias("chunk_id"))
-    texts = table(spark, folder, "chunks").where("text is not null").select("chunk_id", "text").dropDuplicates(["chunk_id"])
     numbers = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(\d[\d,.]*\d|\d)"), F.lit(1)))
-    held = cited.join(texts, "chunk_id").select("log_id", F.explode(numbers).alias("number"), "text").groupBy("log_id", "number").agg(F.bool_or(F.contains("text", "number")).alias("supported"))
+    cited = rows.select("log_id", F.explode("good").alias("at"), "retrieved").select("log_id", F.get("retrieved", (F.col("at") - 1).cast("int"))["chunk_id"].alias("chunk_id"))
+    texts = table(spark, folder, "chunks").where("text is not null").select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    held = rows.select("log_id", F.explode(numbers).alias("number")).join(cited.join(texts, "chunk_id").select("log_id", "text"), "log_id", "left")
+    held = held.groupBy("log_id", "number").agg(F.coalesce(F.bool_or(F.contains("text", "number")), F.lit(False)).alias("supported"))
     claims = F.to_json(F.struct(F.collect_list(F.struct(F.col("number").alias("claim"), "supported")).alias("claims")))  # the numbers of one answer
     return held.groupBy("log_id").agg(claims.alias("judged")).select("log_id", F.round(a.faithfulness(F.try_parse_json("judged")), 6).alias("faithfulness"))
 

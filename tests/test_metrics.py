@@ -1,3 +1,6 @@
+import datetime
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +43,17 @@ def test_kappa_of_labels(spark):
     one, two = m.kappa(df, "hc", "jc").first(), m.kappa(df, "hf", "jf").first()
     assert (one.n, one.agreement, round(one.kappa, 4)) == (25, 0.92, 0.7024) and (two.agreement, two.kappa) == (0.8, 0.0)
     assert m.kappa(df.where("false"), "hc", "jc").first().kappa is None
+
+
+def test_judged_answers_keep_uncited_ones(spark, tmp_path):
+    from filingsift.plans import evaluation
+
+    raw = lambda answer, cited: json.dumps({"answer": answer, "citations": cited, "abstain": False})
+    said = [(1, raw("15 and 20", [1])), (2, raw("15", [])), (3, raw("15", [2])), (4, raw("15", [3])), (5, raw("15", [9])), (6, raw("none", [1])), (7, raw("20 of 15", [2, 1]))]
+    hits = [("a:p1:c0", 1.0), ("missing:p1:c0", 0.5), ("null:p1:c0", 0.2)]
+    at = datetime.datetime(2025, 1, 1)
+    log = [(i, at, at, hits, (text, 0)) for i, text in said] + [(8, at, at, None, (raw("15", [1]), 0))]
+    spark.createDataFrame(log, "log_id long, ts timestamp, arrived_at timestamp, retrieved array<struct<chunk_id:string,score:double>>, output struct<raw:string,invalid_citations:int>").write.parquet(f"{tmp_path}/query_log.parquet")
+    spark.createDataFrame([("a:p1:c0", "it was 15"), ("null:p1:c0", None)], "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.log_id: r.faithfulness for r in evaluation.judged_answers(spark, str(tmp_path)).collect()}
+    assert got == {1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 7: 0.5, 8: 0.0}
