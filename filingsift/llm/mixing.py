@@ -2,23 +2,26 @@
 
 Method: Pfair scheduling. A source's text is a stream of blocks of equal size; its weight gives block k of n in a period of
 P slots the release floor(k P / n) and the deadline ceil((k + 1) P / n), and earliest deadline first fills the slots. The
-windows can always be met, so after any slot each source is less than one block from its share. The schedule of a period
-is a table of at most ``MAX_SLOTS`` rows; periods repeat it, so its size does not follow the data. Documents reach their
-block through running sums of token counts, taken in two levels (within hashed buckets, then over buckets), so that a
+windows can always be met, so after any slot each source is less than one block from its share. There is one period, of as
+many slots as the mix has blocks, whatever its size: one task writes the schedule slot by slot into a table, holding only
+the next block of each source, and the documents are joined with it. Documents reach their block through running sums of token counts, taken in two levels (within hashed buckets, then over buckets), so that a
 source with a third of all documents is spread over many tasks.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingsift.functions.shared import written
 
-#: Slots of a period. Up to so many blocks in all, shares are exact; beyond, a share is rounded to 1 / MAX_SLOTS.
-MAX_SLOTS = 1 << 16
+#: Slots that the task of the schedule hands on at once.
+SLOT_ROWS = 1 << 16
 #: Tokens of a block, and documents of a bucket of the running sums.
 BLOCK_TOKENS, BUCKET_DOCUMENTS = 4096, 20_000
 
@@ -52,23 +55,38 @@ def apportion(sizes: dict[str, int], slots: int) -> dict[str, int]:
     return given
 
 
-def schedule(blocks: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block, slot): earliest deadline first over one period of ``sum(blocks.values())`` slots."""
+def scheduled(blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot): earliest deadline first over one period of ``sum(blocks.values())`` slots, one by one."""
     slots = sum(blocks.values())
     waiting = [(0, -(-slots // n), s, 0) for s, n in sorted(blocks.items())]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
     for slot in range(slots):
         while waiting and waiting[0][0] <= slot:
             _, deadline, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, k))
         _, s, k = heapq.heappop(ready)
-        out.append((s, k, slot))
+        yield s, k, slot
         if k + 1 < blocks[s]:
             n = blocks[s]
             heapq.heappush(waiting, ((k + 1) * slots // n, -(-(k + 2) * slots // n), s, k + 1))
-    return out
+
+
+def schedule(blocks: dict[str, int]) -> list[tuple[str, int, int]]:
+    """All rows of ``scheduled``."""
+    return list(scheduled(blocks))
+
+
+def slot_table(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
+    """``schedule`` as a table (source, block, at), written by one task in pieces, so that nobody holds it whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            rows = scheduled(blocks)
+            while piece := list(itertools.islice(rows, SLOT_ROWS)):
+                yield pd.DataFrame(piece, columns=["source", "block", "at"])
+
+    return written(spark.range(0, 1, 1, 1).mapInPandas(run, "source string, block long, at long"), "slots")
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
@@ -86,18 +104,14 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, bl
     sized = documents.select("source", "doc_id", F.col("tokens").cast("long").alias("tokens")).where("tokens > 0 and source is not null")
     sized = written(sized.join(targets.where("target_share > 0 and max_repeats > 0"), "source"), "sizes")
     sums = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"), F.first("target_share").alias("share"), F.first("max_repeats").alias("times")).collect()}
-    rows, plan = [], []
+    rows, blocks = [], {}
     if sums:
         total = total if total is not None else sum(r["n"] for r in sums.values())
         quota = quotas({s: r["share"] for s, r in sums.items()}, {s: r["n"] * r["times"] for s, r in sums.items()}, total)
         blocks = {s: -(-n // block_tokens) for s, n in quota.items()}
-        if sum(blocks.values()) > MAX_SLOTS:
-            blocks = apportion(blocks, MAX_SLOTS)
-        rows = [(s, quota[s], sums[s]["n"], blocks[s]) for s in quota]
-        plan = schedule(blocks)
-    period = max(1, len(plan))
-    limits = spark.createDataFrame(rows, "source string, quota long, size long, blocks long")
-    slots = spark.createDataFrame(plan, "source string, block long, at long")
+        rows = [(s, quota[s], sums[s]["n"]) for s in quota]
+    limits = spark.createDataFrame(rows, "source string, quota long, size long")
+    slots = slot_table(spark, blocks)
 
     parts = max(1, -(-sum(r["docs"] for r in sums.values()) // BUCKET_DOCUMENTS))
     spread = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -108,9 +122,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, bl
     placed = sized.withColumn("inside", inside - F.col("tokens")).join(bases, ["source", "bucket"]).withColumn("offset", F.col("base") + F.col("inside"))
     times = F.least(F.expr("(quota - 1 - offset) div size"), F.col("max_repeats") - 1)
     used = placed.where("offset < quota").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times.cast("long"))))
-    used = used.withColumn("place", F.col("copy") * F.col("size") + F.col("offset")).withColumn("nth", F.expr(f"place div {block_tokens}"))
-    used = used.withColumn("block", F.expr("nth % blocks")).join(F.broadcast(slots), ["source", "block"])
-    return used.select("source", "doc_id", F.col("copy").cast("int").alias("copy"), "tokens", (F.expr("nth div blocks") * period + F.col("at")).alias("slot"), "place")
+    used = used.withColumn("place", F.col("copy") * F.col("size") + F.col("offset")).withColumn("block", F.expr(f"place div {block_tokens}"))
+    used = used.join(slots, ["source", "block"])
+    return used.select("source", "doc_id", F.col("copy").cast("int").alias("copy"), "tokens", F.col("at").alias("slot"), "place")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
