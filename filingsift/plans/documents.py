@@ -29,7 +29,7 @@ def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:
     paras = F.transform(chunking.paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.col("section").alias("section")))
-    rows = table(spark, folder, "chunks").where("kind = 'text'").dropDuplicates(["chunk_id"]).select("chunk_id", F.posexplode(chunking.pack(paras, 64)).alias("piece", "x"))
+    rows = table(spark, folder, "chunks").where("coalesce(kind, 'text') <> 'table'").dropDuplicates(["chunk_id"]).select("chunk_id", F.posexplode(chunking.pack(paras, 64)).alias("piece", "x"))
     return rows.select("chunk_id", "piece", word_count(F.col("x.text")).alias("words"), _md5(F.col("x.text")).alias("md5"))
 
 

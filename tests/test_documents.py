@@ -117,3 +117,11 @@ def test_units_and_titles(spark):
     rows = [("d", 1, 0, "text", "Balance Sheet"), ("d", 1, 1, "text", "A long sentence.\nEnds here."), ("d", 1, 2, "table", "| a |")]
     b = spark.createDataFrame(rows, "doc_id string, page_index int, block_no int, kind string, text string")
     assert layout.titles(b).first().found_title == "Balance Sheet"
+
+
+def test_chunk_pack_takes_null_kinds(spark, tmp_path):
+    from filingsift.plans import documents
+
+    rows = [("a", None, "one two"), ("b", "text", "one two three"), ("c", "table", "| 1 |"), ("d", None, None)]
+    spark.createDataFrame(rows, "chunk_id string, kind string, text string").withColumn("section", F.lit("S")).write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {(r.chunk_id, r.piece, r.words) for r in documents.chunk_pack(spark, str(tmp_path)).collect()} == {("a", 0, 2), ("b", 0, 3)}
