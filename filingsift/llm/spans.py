@@ -6,8 +6,14 @@ task counts its picks in a sketch, and the merged sketches overestimate how many
 every window of ``length`` characters whose pick is estimated to be in two documents or more, and groups exactly these:
 a window is shared if its group holds two documents. Nothing shared is lost, since a sketch only overestimates.
 
-Neighbouring windows with one pick travel as one run. Where all runs of a pick are the same text, one comparison settles
-all their windows; only where they differ, at the ends of shared passages, are single windows grouped.
+Neighbouring windows with one pick travel as one run of a few numbers, without the hashes of its windows. The runs are
+grouped by pick. Where all runs of a pick are the same text, one comparison settles all their windows; only where they
+differ, at the ends of shared passages, do single windows go back to their text, are hashed there and grouped.
+
+The sketch is sized from the number of characters, up to MOST_BITS. Beyond about 5 GB of text it fills up and lets ever
+more picks through, up to all of them. Then the grouping by pick does the work alone, exactly, at about 20 bytes for each
+pick (some 2 in 100 characters), so the disk stays in proportion to the input; no hash of a window is written
+before its pick is known to be in two documents.
 
 Skew: both groupings are partial aggregations (least and greatest document), and rows come back through joins that Spark
 may split, so one passage that stands in a third of all documents burdens no single task.
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingsift.functions.shared import written
@@ -28,9 +34,10 @@ from filingsift.llm.hashing import Ranges, text_slices
 
 #: Characters of a picked window, as a share of the stretch's length.
 PICK_SHARE = 2 / 3
-#: Buckets of each of the sketch's two rows, as a power of two: 2 x 8 MB of bits.
-SKETCH_BITS, SKETCH_ROWS = 26, 2
-RUNS = "pick long, run long, doc_id {kind}, start int, count int, hashes array<long>"
+#: The sketch's rows of buckets, the buckets of each for one expected pick, and the most of them (as a power of two, 32 MB of bits).
+SKETCH_ROWS, ROOM, MOST_BITS = 2, 16, 28
+RUNS = "pick long, run long, doc_id {kind}, start int, count int"
+WINDOWS = "hash long, doc_id {kind}, first int"
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -43,6 +50,16 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:-rest], keys[rest:]) if rest else keys
 
 
+def _characters(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a slice of UTF-8 texts, and the rows' offsets in them."""
+    chars = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
+    if len(chars) == len(data):
+        return chars, offsets
+    heads = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=heads[1:])
+    return chars, heads[offsets]
+
+
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Of each slice of rows: row number, start, window hash and picked hash of every window of ``length`` characters."""
     pick = max(1, int(length * PICK_SHARE))
@@ -50,11 +67,7 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     for first, _, data, offsets in text_slices(column):
         if len(data) < length:
             continue
-        chars = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
-        if len(chars) < len(data):  # to offsets in code points
-            heads = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=heads[1:])
-            offsets = heads[offsets]
+        chars, offsets = _characters(data, offsets)
         n = len(chars) - length + 1
         if n <= 0:
             continue
@@ -79,10 +92,52 @@ def _runs(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])])
 
 
-def shared_windows(documents: DataFrame, length: int = 240, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketch_bits(docs: DataFrame, length: int) -> int:
+    """Buckets of a row of the sketch, as a power of two: ROOM for each pick to expect, MOST_BITS at most."""
+    windows = docs.agg(F.sum(F.length("text") - (length - 1))).first()[0] or 0
+    picks = 2 * windows / (length - int(length * PICK_SHARE) + 2)
+    return int(min(MOST_BITS, max(12, np.ceil(np.log2(ROOM * picks + 1)))))
+
+
+def _repeated(rows: DataFrame, by: str, *more: Column) -> DataFrame:
+    """(by, and ``more``) of what stands in two documents at least."""
+    found = rows.groupBy(by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), *more)
+    return found.where("least < greatest").drop("least", "greatest")
+
+
+def _windows_of(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """(hash, doc_id, first) of the single windows of ``runs``, hashed where their text is."""
+    wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))  # the runs of one document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(2)
+            of = np.asarray(asked.value_lengths())
+            part = asked.flatten()
+            row = np.repeat(np.arange(len(of)), of)
+            start, count = part.field(0).to_numpy(), part.field(1).to_numpy()
+            for first, to, data, offsets in text_slices(batch.column(1)):
+                chars, offsets = _characters(data, offsets)
+                own = np.flatnonzero((row >= first) & (row < to))
+                last = offsets[row[own] - first + 1] - offsets[row[own] - first] - length  # rows that repeat a doc_id may be shorter
+                n = np.maximum(np.minimum(count[own], last + 1 - start[own]), 0)
+                if not n.sum():
+                    continue
+                at = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rows = np.repeat(row[own], n)
+                begin = offsets[rows - first] + at
+                hashes = Ranges(chars).between(begin, begin + length)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(at.astype(np.int32))], ["hash", "doc_id", "first"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, WINDOWS.format(kind=kind))
+
+
+def shared_windows(documents: DataFrame, length: int = 240, doc_id: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """(doc_id, first, last): ranges of the starts of the windows of ``length`` characters that stand in the text of
-    another doc_id too."""
+    another doc_id too. ``bits`` sets the size of the sketch, which changes costs and no result."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
+    bits = bits or sketch_bits(docs, length)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def picked() -> Iterator[np.ndarray]:
@@ -94,10 +149,10 @@ def shared_windows(documents: DataFrame, length: int = 240, doc_id: str = "doc_i
                     row, hashes = row[order], hashes[order]
                     yield hashes[np.r_[True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])]]
 
-        yield from sketch.partial_repeated(picked(), SKETCH_BITS, SKETCH_ROWS)
+        yield from sketch.partial_repeated(picked(), bits, SKETCH_ROWS)
 
-    bits = documents.sparkSession.sparkContext.broadcast(sketch.repeated(docs.mapInArrow(first, sketch.PARTIAL), SKETCH_BITS, SKETCH_ROWS))
-    kind = docs.schema["doc_id"].dataType
+    seen = documents.sparkSession.sparkContext.broadcast(sketch.repeated(docs.mapInArrow(first, sketch.PARTIAL), bits, SKETCH_ROWS))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,25 +160,22 @@ def shared_windows(documents: DataFrame, length: int = 240, doc_id: str = "doc_i
                 begins = _runs(rows, least)
                 sizes = np.diff(np.r_[begins, len(at)])
                 pick = picks[least[begins]]
-                kept = sketch.may_repeat(bits.value, pick, SKETCH_BITS, SKETCH_ROWS)
+                kept = sketch.may_repeat(seen.value, pick, bits, SKETCH_ROWS)
                 if kept.any():
-                    own = at[np.repeat(kept, sizes)]
                     begins, sizes = begins[kept], sizes[kept]
                     whole = ranges.between(at[begins], at[begins + sizes - 1] + length)
-                    hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ranges.between(own, own + length).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(pick[kept].view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(rows[begins])), pa.array(start[begins].astype(np.int32)), pa.array(sizes.astype(np.int32)), hashes], ["pick", "run", "doc_id", "start", "count", "hashes"])
-
-    runs = written(docs.mapInArrow(second, RUNS.format(kind=kind.simpleString())), "runs")
-    found = runs.groupBy("pick").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), (F.min("run") == F.max("run")).alias("same"))
-    found = runs.join(found.where("least < greatest").select("pick", "same"), "pick")
-    whole = found.where("same").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))  # without the hashes
-    single = found.where("not same").select("doc_id", "start", F.posexplode("hashes").alias("nth", "hash")).select("hash", "doc_id", (F.col("start") + F.col("nth")).alias("first"))
-    repeated = single.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("hash")
-    single = single.join(repeated, "hash", "left_semi").select("doc_id", "first", F.col("first").alias("last"))
+                    yield pa.RecordBatch.from_arrays([pa.array(pick[kept].view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(rows[begins])), pa.array(start[begins].astype(np.int32)), pa.array(sizes.astype(np.int32))], ["pick", "run", "doc_id", "start", "count"])
+
+    runs = written(docs.mapInArrow(second, RUNS.format(kind=kind)), "runs")
+    found = _repeated(runs, "pick", (F.min("run") == F.max("run")).alias("same"))
+    found = written(runs.drop("run").join(found, "pick").drop("pick"), "repeated")
+    whole = found.where("same").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
+    single = written(_windows_of(docs, found.where("not same"), length), "windows")
+    single = single.join(_repeated(single, "hash"), "hash", "left_semi").select("doc_id", "first", F.col("first").alias("last"))
     return whole.unionByName(single)
 
 
-def shared_spans(documents: DataFrame, length: int = 240, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_spans(documents: DataFrame, length: int = 240, doc_id: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """(doc_id, span_start, span_end): the maximal runs of shared characters of each document.
 
     A character (code point) is shared if it lies in a stretch of ``length`` characters that occurs exactly so in the
@@ -131,7 +183,7 @@ def shared_spans(documents: DataFrame, length: int = 240, doc_id: str = "doc_id"
     none; rows that repeat a doc_id count as one document. Other columns are ignored.
     """
     order = Window.partitionBy("doc_id").orderBy("first", "last")
-    windows = shared_windows(documents, length, doc_id, text)
+    windows = shared_windows(documents, length, doc_id, text, bits)
     reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.coalesce(F.col("first") - reached > length, F.lit(True))
     runs = windows.withColumn("gap", gap).withColumn("run", F.sum(F.col("gap").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
