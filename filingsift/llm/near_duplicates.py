@@ -8,16 +8,18 @@ if |A and B| / |A or B| >= threshold. Method: set-relation skipping over an inve
   ``g`` groups, these fall at least ``m`` times two into one group: index keys are the pairs of prefix shingles of one group,
   and alike sets have ``m`` keys in common. No pair of alike sets is missed; keys made of two shingles have short lists even
   where single shingles are frequent, and hardly any other pair has m of them in common.
-* Keys that one record only holds lead nowhere: a second merged sketch overestimates how many hold a key, and only those
-  with two or more are sent.
-* Index-level skipping: a list is cut into blocks by position. An entry meets those of its own block, and is sent on to later
-  blocks only as far as the needed overlap lets an alike set's entry stand; the other blocks are never joined with it.
+* The lists are made by one exchange. Every task sorts its entries (key, set, position, size) and sends each range of keys
+  as one packed block of some 7 bytes an entry; a task that gets a range merges the blocks into its lists. Nothing is
+  broadcast and no sketch can fill up, so an entry costs the same at any size of the collection.
+* Index-level skipping: a list is sorted by position, and an entry is compared with the stretch of the list only in which an
+  alike set's entry can stand (its position is at most ``size * (1 - t) / t`` later); what lies behind is skipped unseen. Size
+  and exact position decide about the rest.
 * Answer-level skipping: equal sets are one class and only its representative is indexed. Representatives with the same
   rarest shingles follow a leader; once the overlap of two leaders is computed, it bounds the overlaps of their followers
   by the few shingles in which these differ, and only pairs that the bounds leave open are compared in full.
 
-Skew: no group is gathered. Lists are joined by key and block (Spark may split a hot one), classes are min-aggregations, and
-copies come back through a join at the end.
+Skew: the list of a key whose shingles are both frequent is salted: its entries are dealt to slots, and every two slots meet in
+a list of their own. Classes are min-aggregations, and copies come back through a join at the end.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,14 @@ from filingsift.functions.shared import written
 from filingsift.llm import sketch
 from filingsift.llm.hashing import Ranges, mix, text_slices
 
-#: Buckets of the ordering sketch (4 bytes each) and of the key sketch (one bit each), as powers of two.
-ORDER_BITS, KEY_BITS, KEY_ROWS = 20, 28, 2
-#: Positions of one block of an index list.
-BLOCK = 256
+#: Buckets of the ordering sketch (4 bytes each), as a power of two.
+ORDER_BITS = 20
+#: Bits of an index key that are kept (keys that agree in them share a list), and entries that a task packs at once.
+KEY_BITS, PACKED = 40, 2_000_000
+#: A list expected to be longer than this, and than so many times the mean bucket of the ordering sketch, is salted.
+LONG_LIST, LONG_SHARE, MOST_SLOTS = 50_000, 64, 32
+#: Pairs of entries that a task looks at in one go.
+AT_ONCE = 4_000_000
 #: Keys that alike sets must have in common, at most (fewer for sets below 16 shingles).
 COMMON = 4
 #: Rarest shingles that followers of a leader have in common.
@@ -82,14 +89,14 @@ def _sets(column: pa.Array, words: int, least_tokens: int) -> Iterator[tuple[int
         yield first, row[fresh], hashes[fresh]
 
 
-def _ordered(row: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's shingles, rare first; with the position of each and the size of its set."""
-    rank = np.minimum(counts[sketch.buckets(hashes, ORDER_BITS)], np.uint32(0xFFFFFF)).astype(np.uint64)
-    order = np.lexsort((hashes, rank, row))
+def _ordered(row: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each row's shingles, rare first; with the position of each, the size of its set and how often its bucket occurs."""
+    times = counts[sketch.buckets(hashes, ORDER_BITS)]
+    order = np.lexsort((hashes, np.minimum(times, np.uint32(0xFFFFFF)), row))
     row, hashes = row[order], hashes[order]
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     sizes = np.diff(np.r_[starts, len(row)])
-    return row, hashes, np.arange(len(row)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    return row, hashes, np.arange(len(row)) - np.repeat(starts, sizes), np.repeat(sizes, sizes), times[order]
 
 
 def _needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -101,8 +108,8 @@ def _needed_column(a: str, b: str, threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col(a) + F.col(b)) - 1e-9)
 
 
-def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index keys as (index of the later shingle, key, whether a set has it as the smaller of two as well).
+def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Index keys as (index of the earlier and of the later shingle, key, whether a set has it as the smaller of two as well).
 
     The class of two sets is that of the smaller, c for 2**c to 2**(c + 1) - 1 shingles; it has ``g = 2**c / 4`` groups and
     asks for ``m = min(COMMON, g)`` common keys (see ``_common_keys``). A set has keys of its own class, and as the larger
@@ -121,7 +128,7 @@ def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray,
         salt = mix(cls.astype(np.uint64) + np.uint64(101))
         lone = np.flatnonzero(inside & (g == 0))
         if len(lone):
-            yield lone, mix(hashes[lone] ^ salt[lone]), small[lone]
+            yield lone, lone, mix(hashes[lone] ^ salt[lone]), small[lone]
         paired = np.flatnonzero(inside & (g > 0))
         group = mix(hashes[paired] + np.uint64(77)) % g[paired].astype(np.uint64)
         sort = np.lexsort((at[paired], group, row[paired]))
@@ -131,7 +138,7 @@ def _keys(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray,
             if not same.any():
                 break
             a, b = order[:-lag][same], order[lag:][same]
-            yield b, mix((hashes[a] * np.uint64(3) + mix(hashes[b])) ^ salt[b]), small[b]
+            yield a, b, mix((hashes[a] * np.uint64(3) + mix(hashes[b])) ^ salt[b]), small[b]
 
 
 def _common_keys(smaller: Column) -> Column:
@@ -140,107 +147,193 @@ def _common_keys(smaller: Column) -> Column:
     return F.when(smaller < 8, 1).otherwise(F.least(g, F.lit(COMMON)))
 
 
-def _classes(row: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each set: where it starts, the id of its class (a hash of the set) and of its rarest shingles."""
-    starts = np.flatnonzero(at == 0)
-    whole = np.add.reduceat(mix(hashes ^ np.uint64(0x51)), starts) + mix(np.bitwise_xor.reduceat(mix(hashes ^ np.uint64(0x77)), starts)) + size[starts].astype(np.uint64)
-    near = np.add.reduceat(np.where(at < NEAR, mix(hashes), np.uint64(0)), starts)
-    return starts, mix(whole), near
-
-
-def _each_once(column: pa.Array, seen: set[int], counts: np.ndarray, words: int, least_tokens: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The ordered sets of a column without those that this task has seen before: equal sets are looked at once a task."""
-    for first, row, hashes in _sets(column, words, least_tokens):
-        if not len(row):
-            continue
-        row, hashes, at, size = _ordered(row, hashes, counts)
-        starts, cls, near = _classes(row, hashes, at, size)
-        fresh = np.zeros(len(starts), bool)
-        for k, c in enumerate(cls.tolist()):
-            if c not in seen:
-                seen.add(c)
-                fresh[k] = True
-        kept = np.repeat(fresh, size[starts])
-        yield first + row[starts], cls, near, size[starts], fresh, row[kept], hashes[kept], at[kept], size[kept], np.repeat(cls, size[starts])[kept]
-
-
-INDEX = "key long, cls long, n int, at int, small boolean, near long, id {kind}"
+def _classes(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set: where it starts, the id of its class (a hash of the set, whatever its order) and its size."""
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    sizes = np.diff(np.r_[starts, len(row)])
+    whole = np.add.reduceat(mix(hashes ^ np.uint64(0x51)), starts) + mix(np.bitwise_xor.reduceat(mix(hashes ^ np.uint64(0x77)), starts)) + sizes.astype(np.uint64)
+    return starts, mix(whole), sizes
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte of all of them, so that bytes that hardly vary are pressed away."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def packed(key: np.ndarray, cid: np.ndarray, at: np.ndarray, size: np.ndarray, small: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Entries as one block for each range of keys (a power of two of them): the keys' steps, then the other columns."""
+    key = key >> np.uint64(64 - KEY_BITS)
+    order = np.argsort(key)
+    key, cid, at, size = key[order], cid[order], (at[order].astype(np.uint64) << np.uint64(1)) | small[order], size[order]
+    width = 1 << (KEY_BITS - ranges.bit_length() + 1)
+    edges = np.searchsorted(key, np.arange(0, (1 << KEY_BITS) + 1, width, dtype=np.uint64))
+    kept = np.flatnonzero(np.diff(edges))
+    datas = []
+    for k in kept:
+        own = slice(edges[k], edges[k + 1])
+        steps = np.diff(key[own], prepend=np.uint64(k * width))
+        raw = b"".join(_planes(x) for x in (steps, cid[own], at[own], size[own]))
+        datas.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(datas, pa.binary())], ["range", "data"])
+
+
+def unpacked(datas: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(key within the range, cid, position, size, small) of the blocks of one range."""
+    parts = []
+    for d in datas:
+        raw = pa.decompress(d[4:], int.from_bytes(d[:4], "little"), "zstd", asbytes=True)
+        rows = np.frombuffer(raw, np.uint8).reshape(4, 8, -1).transpose(0, 2, 1)
+        part = np.ascontiguousarray(rows).view("<u8")[..., 0].copy()
+        part[0] = np.cumsum(part[0], dtype=np.uint64)
+        parts.append(part)
+    key, cid, at, size = np.concatenate(parts, axis=1)
+    return key, cid.view(np.int64), (at >> np.uint64(1)).astype(np.int64), size.astype(np.int64), (at & np.uint64(1)) == 1
+
+
+def met(key: np.ndarray, cid: np.ndarray, at: np.ndarray, size: np.ndarray, small: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, na, nb, times): the sets of one list, a the smaller, whose entries stand so that they may be alike."""
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]]  # lists of one entry lead nowhere
+    order = order[np.lexsort((at[order], key[order]))]
+    cid, at, size, small = cid[order], at[order], size[order], small[order]
+    if not len(order):
+        return
+    lists = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+    span = int(at.max()) + int(np.ceil(size.max() * (1 - threshold) / threshold)) + 2
+    place = lists * span + at
+    ends = np.searchsorted(place, place + np.ceil(size * ((1 - threshold) / threshold)).astype(np.int64), "right")  # behind it the list is skipped
+    n = ends - np.arange(len(place)) - 1
+    first = 0
+    while first < len(n):  # slices of bounded work
+        to = max(first + 1, int(np.searchsorted(np.cumsum(n[first:]), AT_ONCE, "right")) + first)
+        i = np.repeat(np.arange(first, to), n[first:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[first:to]) - n[first:to], n[first:to])
+        first = to
+        less = (size[i] < size[j]) | ((size[i] == size[j]) & (cid[i] < cid[j]))
+        a, b = np.where(less, i, j), np.where(less, j, i)
+        na, nb = size[a], size[b]
+        needed = _needed(na, nb, threshold)
+        ok = small[a] & (cid[a] != cid[b]) & (na >= threshold * nb - 1e-9) & (at[b] - at[a] <= nb - needed) & (at[a] - at[b] <= na - needed)
+        if ok.any():
+            both = np.stack([cid[a[ok]], cid[b[ok]], na[ok], nb[ok]])
+            both = both[:, np.lexsort((both[1], both[0]))]
+            fresh = np.flatnonzero(np.r_[True, (both[0][1:] != both[0][:-1]) | (both[1][1:] != both[1][:-1])])
+            yield (*both[:, fresh], np.diff(np.r_[fresh, both.shape[1]]))
+
+
+def _salted(k: np.ndarray, key: np.ndarray, frequent: np.ndarray, cid: np.ndarray, long: float) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, key) with the entries of long lists dealt to slots: an entry goes to the lists of its own slot with each slot."""
+    slots = np.clip(np.ceil(frequent / long), 1, MOST_SLOTS).astype(np.int64)
+    times = np.repeat(np.arange(len(k)), slots)
+    other = np.arange(len(times)) - np.repeat(np.cumsum(slots) - slots, slots)
+    many = slots[times] > 1
+    own = (mix(cid[k][times].astype(np.uint64)) % slots[times].astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(own, other) * (MOST_SLOTS + 1) + np.maximum(own, other) + 1).astype(np.uint64)
+    return times, np.where(many, mix(key[times] ^ mix(pair)), key[times])
+
+
+RECORDS = "cid long, cls long, n int, id {kind}, text string, block int, part int, data binary"
+PAIRS = "a long, b long, na int, nb int, times long"
 
 
 class Joined:
     """The steps of one join; each is a table written once."""
 
-    def __init__(self, records: DataFrame, threshold: float, words: int, least_tokens: int, id_column: str, text: str):
+    def __init__(self, records: DataFrame, threshold: float, words: int, least_tokens: int, id_column: str, text: str, long_list: int = LONG_LIST):
         self.records = records.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-        self.threshold, self.words, self.least_tokens = threshold, words, least_tokens
+        self.threshold, self.words, self.least_tokens, self.long_list = threshold, words, least_tokens, long_list
         self.spark = records.sparkSession
-        self.kind = self.records.schema["id"].dataType.simpleString()
-        self.counts = self._order()
-        index = self._index()
-        self.members = index.where("key is null").select("cls", "n", "near", "id")
-        self.sets = None
-        self.links = self._links(index.where("key is not null").drop("near", "id"))
-
-    def _order(self) -> Broadcast:
+        every = self._read()
+        self.counts = self.spark.sparkContext.broadcast(sketch.counted(every.where("data is not null").select("block", "part", "data"), ORDER_BITS))
+        members = every.where("cls is not null").select("cls", "cid", "id")
+        held = members.where("cid is not null")
+        first = held.groupBy("cls").agg(F.min("cid").alias("cid"))
+        # one text for each class: those that another task holds as well are left out of the texts
+        again = held.join(first.withColumnRenamed("cid", "first"), "cls").where("cid <> first").select("cid")
+        self.texts = every.where("text is not null").select("cid", "text").join(again, "cid", "left_anti")
+        self.members = members.select("cls", "id").join(first, "cls").select(F.col("cid").alias("cls"), "id")
+        self.links = self._links()
+
+    def _read(self) -> DataFrame:
+        """Each record with its class (a hash of its set); the text and a number where its task meets the class first; and
+        the partial sketches of how often shingles occur."""
         words, least = self.words, self.least_tokens
+        names = [f.split()[0] for f in RECORDS.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int32(), None, pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from sketch.partial_counted((h for batch in batches for _, _, h in _sets(batch.column(0), words, least)), ORDER_BITS)
-
-        return self.spark.sparkContext.broadcast(sketch.counted(self.records.select("text").mapInArrow(run, sketch.PARTIAL), ORDER_BITS))
-
-    def _index(self) -> DataFrame:
-        """Rows of the index, for keys that two classes or more are estimated to hold, and (with a null key) the class of each record."""
-        words, least, threshold, counts = self.words, self.least_tokens, self.threshold, self.counts
-
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
+            rows: list[pa.RecordBatch] = []
+            base = TaskContext.get().partitionId() << 33
+            kind = pa.string()
 
-            def every() -> Iterator[np.ndarray]:
+            def read() -> Iterator[np.ndarray]:
+                nonlocal kind
                 for batch in batches:
-                    for _, _, _, _, _, row, hashes, at, size, _ in _each_once(batch.column(0), seen, counts.value, words, least):
-                        for _, key, _ in _keys(row, hashes, at, size, threshold):
-                            yield key
-
-            yield from sketch.partial_repeated(every(), KEY_BITS, KEY_ROWS)
-
-        bits = self.spark.sparkContext.broadcast(sketch.repeated(self.records.select("text").mapInArrow(keys, sketch.PARTIAL), KEY_BITS, KEY_ROWS))
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            names = [f.split()[0] for f in INDEX.split(", ")]
-            for batch in batches:
-                ids = batch.column(1)
-                for record, cls, near, n, _, row, hashes, at, size, own in _each_once(batch.column(0), seen, counts.value, words, least):
-                    none = len(record)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_()), pa.array(near.view(np.int64)), ids.take(pa.array(record))], names)
-                    for k, key, small in _keys(row, hashes, at, size, threshold):
-                        kept = sketch.may_repeat(bits.value, key, KEY_BITS, KEY_ROWS)
-                        if kept.any():
-                            k = k[kept]
-                            yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), pa.array(own[k].view(np.int64)), pa.array(size[k].astype(np.int32)), pa.array(at[k].astype(np.int32)), pa.array(small[kept]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), ids.type)], names)
-
-        return written(self.records.select("text", "id").mapInArrow(rows, INDEX.format(kind=self.kind)), "index")
-
-    def _candidates(self, index: DataFrame) -> DataFrame:
+                    kind = batch.column(0).type
+                    for first, row, hashes in _sets(batch.column(1), words, least):
+                        if len(row):
+                            starts, cls, n = _classes(row, hashes)
+                            fresh = np.zeros(len(cls), bool)
+                            for k, c in enumerate(cls.tolist()):
+                                if c not in seen:
+                                    seen.add(c)
+                                    fresh[k] = True
+                            cid = base + len(seen) - fresh.sum() + np.cumsum(fresh) - 1
+                            record = pa.array(first + row[starts])
+                            text = pc.if_else(pa.array(fresh), batch.column(1).take(record).cast(pa.string()), pa.scalar(None, pa.string()))
+                            rows.append(_batch({"cid": pa.array(cid, mask=~fresh), "cls": pa.array(cls.view(np.int64)), "n": pa.array(n.astype(np.int32)), "id": batch.column(0).take(record), "text": text}, len(cls)))
+                        yield hashes
+
+            def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([columns.get(x, None) if x in columns else pa.nulls(n, t or kind) for x, t in zip(names, types)], names)
+
+            total = np.zeros(1 << ORDER_BITS, np.uint32)
+            for hashes in read():
+                total += np.bincount(sketch.buckets(hashes, ORDER_BITS), minlength=1 << ORDER_BITS).astype(np.uint32)
+                yield from rows
+                rows.clear()
+            for part in sketch.packed_counts(total):
+                yield _batch({x: part.column(x) for x in ("block", "part", "data")}, part.num_rows)
+
+        return written(self.records.mapInArrow(run, RECORDS.format(kind=self.records.schema["id"].dataType.simpleString())), "records")
+
+    def _candidates(self) -> DataFrame:
         """Pairs of classes (a the smaller set) that have enough keys in common, at positions that allow the overlap."""
-        t = self.threshold
-        far = F.ceil(F.col("n") * ((1 - t) / t))  # an alike set's entry stands at most this much later
-        ends = F.ceil(F.col("n") / t * (1 - t)) + F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")))) / 4) + COMMON + 1  # and inside its prefix
-        blocks = F.sequence(F.expr(f"at div {BLOCK}"), F.greatest(F.expr(f"at div {BLOCK}"), F.floor(F.least(F.col("at") + far, ends) / BLOCK).cast("int")))
-        # one exchange serves both sides: they keep the same columns, and what only one side must be is said across the join
-        index = index.select("key", "cls", F.when(F.col("small"), F.col("n")).otherwise(-F.col("n")).alias("size"), "at", F.posexplode(blocks).alias("guest", "block"))
-        index = index.where("key is not null and cls is not null and size is not null and at is not null and guest is not null and block is not null")
-        a, b = (index.select("key", "block", *[F.col(c).alias(c + x) for c in ("cls", "size", "at", "guest")]) for x in ("_a", "_b"))
-        met = a.join(b, ["key", "block"]).withColumns({"na": F.abs("size_a"), "nb": F.abs("size_b")})
-        needed = _needed_column("na", "nb", t)
-        least = F.when(F.col("size_a") > 0, F.col("na")).otherwise(1 << 30)  # only an entry of the smaller kind may be the smaller
-        order = (least < F.col("nb")) | ((least == F.col("nb")) & (F.col("cls_a") < F.col("cls_b")))
-        enough = (F.col("at_b") - F.col("at_a") <= F.col("nb") - needed) & (F.col("at_a") - F.col("at_b") <= F.col("na") - needed)
-        met = met.where((F.least("guest_a", "guest_b") == 0) & order & (F.col("na") >= F.lit(t) * F.col("nb") - 1e-9) & enough)
-        met = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "na", "nb")
-        # a set may send a key from each task that saw a copy of it, so the count is no less than that of distinct keys
-        pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+        words, least, threshold, counts, most = self.words, self.least_tokens, self.threshold, self.counts, self.long_list
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.texts.rdd.getNumPartitions())
+        ranges = 1 << min(20, max(4, (2 * tasks - 1).bit_length()))
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: list[tuple[np.ndarray, ...]] = []
+            held = 0
+            long = max(most, LONG_SHARE * counts.value.mean())
+            for batch in batches:
+                cids = batch.column(0).to_numpy()
+                for first, row, hashes in _sets(batch.column(1), words, least):
+                    if not len(row):
+                        continue
+                    row, hashes, at, size, times = _ordered(row, hashes, counts.value)
+                    for a, b, key, small in _keys(row, hashes, at, size, threshold):
+                        entry, key = _salted(b, key, np.minimum(times[a], times[b]), cids[first + row], long)
+                        b = b[entry]
+                        parts.append((key, cids[first + row[b]], at[b], size[b], small[entry]))
+                        held += len(key)
+                        if held >= PACKED:
+                            yield packed(*(np.concatenate(x) for x in zip(*parts)), ranges)
+                            parts, held = [], 0
+            if held:
+                yield packed(*(np.concatenate(x) for x in zip(*parts)), ranges)
+
+        def pairs_of(table: pa.Table) -> pa.Table:
+            found = [pa.table(list(x), names=["a", "b", "na", "nb", "times"]) for x in met(*unpacked(table.column("data").to_pylist()), threshold)]
+            return pa.concat_tables(found).cast(kinds) if found else kinds.empty_table()
+
+        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("times", pa.int64())])
+        pairs = self.texts.mapInArrow(blocks, "range int, data binary").groupBy("range").applyInArrow(pairs_of, PAIRS)
+        # salted lists may count a key again, so the sum is no less than the number of keys
+        pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("times").alias("common"))
         return pairs.where(F.col("common") >= _common_keys(F.col("na"))).drop("common")
 
     def _overlaps(self, pairs: DataFrame) -> DataFrame:
@@ -249,16 +342,15 @@ class Joined:
         right = self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
         return pairs.join(left, "a").join(right, "b").withColumn("overlap", F.size(F.array_intersect("of_a", "of_b"))).drop("of_a", "of_b")
 
-    def _links(self, index: DataFrame) -> DataFrame:
-        """(a, b, similarity) of alike classes of different sets."""
+    def _links(self) -> DataFrame:
+        """(a, b) of alike classes of different sets."""
         t = self.threshold
-        near = self.members.groupBy("cls").agg(F.min("near").alias("near"), F.min("n").alias("n"))
-        leaders = near.groupBy("near").agg(F.min(F.struct("cls", "n")).alias("lead")).select("near", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("nl"))
-        led = near.join(leaders, "near").select("cls", "lead", "nl")
-        pairs = self._candidates(index)
-        pairs = pairs.join(led.select(F.col("cls").alias("a"), F.col("lead").alias("la"), F.col("nl").alias("nla")), "a").join(led.select(F.col("cls").alias("b"), F.col("lead").alias("lb"), F.col("nl").alias("nlb")), "b")
-        pairs = written(pairs, "candidates")
+        pairs = written(self._candidates(), "candidates")
         self.sets = self._sets_of(pairs)
+        leaders = self.sets.groupBy("near").agg(F.min(F.struct("cls", "n")).alias("lead")).select("near", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("nl"))
+        led = self.sets.select("cls", "near").join(leaders, "near").select("cls", "lead", "nl")
+        pairs = pairs.join(led.select(F.col("cls").alias("a"), F.col("lead").alias("la"), F.col("nl").alias("nla")), "a").join(led.select(F.col("cls").alias("b"), F.col("lead").alias("lb"), F.col("nl").alias("nlb")), "b")
+        pairs = written(pairs, "led")
 
         plain = pairs.where("a = la and b = lb").select("a", "b", "na", "nb")
         follow = pairs.where("a <> la").select("a", F.col("la").alias("b"), "na", F.col("nla").alias("nb")).unionByName(pairs.where("b <> lb").select(F.col("b").alias("a"), F.col("lb").alias("b"), F.col("nb").alias("na"), F.col("nlb").alias("nb"))).distinct()
@@ -280,52 +372,46 @@ class Joined:
         return written(settled.unionByName(counted.where(F.col("overlap") >= _needed_column("na", "nb", t)).select("a", "b")), "links")
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
-        """The sets of the classes that occur in ``pairs`` or lead one that does."""
-        wanted = pairs.select(F.explode(F.array("a", "b", "la", "lb")).alias("cls")).distinct()
-        bits = 24
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from sketch.partial_repeated((np.repeat(b.column(0).to_numpy().view(np.uint64), 2) for b in batches), bits)
-
-        asked = self.spark.sparkContext.broadcast(sketch.repeated(wanted.mapInArrow(mark, sketch.PARTIAL), bits))
+        """(cls, n, near, shingles) of the classes that occur in ``pairs``."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         words, least, counts = self.words, self.least_tokens, self.counts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
             for batch in batches:
-                for _, cls, _, n, fresh, _, hashes, _, size, own in _each_once(batch.column(0), seen, counts.value, words, least):
-                    kept = sketch.may_repeat(asked.value, cls, bits) & fresh
-                    if kept.any():
-                        inside = sketch.may_repeat(asked.value, own, bits)
-                        offsets = pa.array(np.r_[0, np.cumsum(n[kept])].astype(np.int32))
-                        yield pa.RecordBatch.from_arrays([pa.array(cls[kept].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(hashes[inside].view(np.int64)))], ["cls", "shingles"])
+                for first, row, hashes in _sets(batch.column(1), words, least):
+                    if len(row):
+                        row, hashes, at, _, _ = _ordered(row, hashes, counts.value)
+                        starts = np.flatnonzero(at == 0)
+                        offsets = pa.array(np.r_[starts, len(row)].astype(np.int32))
+                        near = np.add.reduceat(np.where(at < NEAR, mix(hashes), np.uint64(0)), starts)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row[starts])), pa.array(np.diff(np.r_[starts, len(row)]).astype(np.int32)), pa.array(near.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["cls", "n", "near", "shingles"])
 
-        sets = self.records.select("text").mapInArrow(run, "cls long, shingles array<long>")
-        return written(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+        texts = self.texts.join(wanted, "cid", "left_semi").select("cid", "text")
+        return written(texts.mapInArrow(run, "cls long, n int, near long, shingles array<long>"), "sets")
 
 
-def _joined(records: DataFrame, threshold: float, words: int, least_tokens: int, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
-    done = Joined(records, threshold, words, least_tokens, id_column, text)
+def _joined(records: DataFrame, threshold: float, words: int, least_tokens: int, id_column: str, text: str, **more: int) -> tuple[DataFrame, DataFrame]:
+    done = Joined(records, threshold, words, least_tokens, id_column, text, **more)
     return done.members.select("cls", "id").distinct(), done.links
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.8, words: int = 5, least_tokens: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_pairs(records: DataFrame, threshold: float = 0.8, words: int = 5, least_tokens: int = 5, id_column: str = "doc_id", text: str = "text", **more: int) -> DataFrame:
     """(a, b), a < b: every two records whose sets of shingles are alike, copies included.
 
     Records with a null id, a null text or fewer than ``least_tokens`` tokens are in no pair; repeated rows count once;
     other columns are ignored. The number of pairs is that of the definition; ``similar_groups`` gives one row a record.
     """
-    members, links = _joined(records, threshold, words, least_tokens, id_column, text)
+    members, links = _joined(records, threshold, words, least_tokens, id_column, text, **more)
     one, two = members.select("cls", F.col("id").alias("one")), members.select("cls", F.col("id").alias("two"))
     copies = one.join(two, "cls").where("one < two").select(F.col("one").alias("a"), F.col("two").alias("b"))
     linked = links.join(one.withColumnRenamed("cls", "a"), "a").join(two.withColumnRenamed("cls", "b"), "b")
     return copies.unionByName(linked.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).where("a <> b")).distinct()
 
 
-def similar_groups(records: DataFrame, threshold: float = 0.8, words: int = 5, least_tokens: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(records: DataFrame, threshold: float = 0.8, words: int = 5, least_tokens: int = 5, id_column: str = "doc_id", text: str = "text", **more: int) -> DataFrame:
     """(id, class_id, copies, links): one row per record, with the least id of its class of equal sets, the size of that
     class, and the number of records of other classes alike to it. Records without a set are alone in their class."""
-    members, links = _joined(records, threshold, words, least_tokens, id_column, text)
+    members, links = _joined(records, threshold, words, least_tokens, id_column, text, **more)
     classes = members.groupBy("cls").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("links"))

@@ -73,12 +73,9 @@ def _packed(every: np.ndarray, bits: int, rows: int) -> Iterator[pa.RecordBatch]
         yield _batch([int(k) + (row << bits) // width for k in blocks], datas)
 
 
-def partial_counted(values: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+def packed_counts(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One task's partial sketch: per block, one 32-bit counter per bucket."""
-    total = np.zeros(1 << bits, np.uint32)
-    for v in values:
-        total += np.bincount(buckets(v, bits), minlength=1 << bits).astype(np.uint32)
-    width = 1 << min(_BLOCK_BITS, bits)
+    width = min(1 << _BLOCK_BITS, len(total))
     blocks = [b for b in range(len(total) // width) if total[b * width : (b + 1) * width].any()]
     yield _batch(blocks, [zlib.compress(total[b * width : (b + 1) * width].tobytes(), 1) for b in blocks])
 
@@ -142,6 +139,15 @@ def repeated(partial: DataFrame, bits: int, rows: int = 1) -> np.ndarray:
     return out
 
 
+def marked(keys: DataFrame, bits: int) -> np.ndarray:
+    """The bits of a sketch in which each of ``keys`` (one column of 64-bit values) is found by ``may_repeat``."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from partial_repeated((np.repeat(b.column(0).to_numpy().view(np.uint64), 2) for b in batches), bits)
+
+    return repeated(keys.mapInArrow(mark, PARTIAL), bits)
+
+
 def may_repeat(sketch: np.ndarray, values: np.ndarray, bits: int, rows: int = 1) -> np.ndarray:
     """False where a value surely occurs once."""
     found = np.ones(len(values), bool)
