@@ -72,6 +72,11 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents, table(spark, folder, "mix_targets"))
 
 
+def p7_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    documents = encoding.token_counts(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return mixing.blocks_of(documents, table(spark, folder, "mix_targets"))
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
 
@@ -85,7 +90,7 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(documents, spans.shared_spans(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_types, p6_ids, p7_mix, p7_shares, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_types, p6_ids, p7_mix, p7_blocks, p7_shares, p8_found, p8_coverage)}
 # White space as SPACE has it, for RE2.
 _WS = "[\\s\\x{000b}\\x{001c}-\\x{001f}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _NWS = "[^" + _WS[1:]
