@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where a session has none (tests), a new local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
+    """The folder of ``spark.checkpoint.dir``. A local session without one (tests) gets a new folder of its machine; on a
+    cluster, where machines share no such folder, this is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` after one write to the shared folder: its lineage ends there, so a lost executor costs no recomputation
-    and later jobs read columns instead of repeating the work."""
+    and later jobs read columns instead of repeating the work. The table stays until ``release`` or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete the tables of ``written``: to be called when the results that read them are used up."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended, and its folder with it
+            continue

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The inside of a character class: white space as Unicode has it, with the separators U+001C to U+001F.
 SPACE = r"\s\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x2000, 45, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: The same characters one by one.
+SPACES = "\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = "[a-z0-9]+"
 
 

@@ -128,8 +128,7 @@ def words_to_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = written(layout.word_rows(_words(spark, folder)), "rows")
-    return written(layout.table_runs(rows), "runs")
+    return layout.table_runs(layout.word_rows(_words(spark, folder)))
 
 
 def table_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,6 +157,15 @@ def box_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return layout.overlapping(words, boxes).groupBy("page").agg(F.count("*").alias("words"))
 
 
+def box_inside(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of tables whose centre lies in the lower half of their table, which ends the page: its last lines are its footer."""
+    words = _words(spark, folder)
+    boxes = words.groupBy("page").agg((F.min("x0") - 1).alias("bx0"), ((F.min("y0") + F.max("y1")) / 2).alias("by0"), (F.max("x1") + 1).alias("bx1"), F.max("y1").alias("by1"))
+    height = boxes.select("page", (F.col("by1") + 20).alias("height"))
+    found = layout.inside(words, boxes).join(height, "page").where(layout.in_band(F.col("y0"), F.col("y1"), F.col("height")))
+    return found.groupBy("page").agg(F.count("*").alias("words"))
+
+
 def reading_order(spark: SparkSession, folder: str) -> DataFrame:
     """Tables slotted between the texts of their page by height."""
     b = _blocks(spark, folder).where("y is not null").withColumn("page", F.concat_ws(":", *PAGE))
@@ -171,7 +179,7 @@ def highlight_needles(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("chunk_id", F.size(needles(F.col("text"))).alias("needles"), F.md5(F.array_join(needles(F.col("text")), "|").cast("binary")).alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_pack, chunk_table_split, chunk_pages, chunk_sections, chunk_page_windows, chunk_counts, chunk_contextual, page_label, section_carry_forward, toc_paths, toc_asof, find_units, title_lookup, ruled_tables, words_to_rows, table_runs, column_anchors, rebuilt_tables, gap_paragraphs, box_overlap, reading_order, highlight_needles)}
+QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_pack, chunk_table_split, chunk_pages, chunk_sections, chunk_page_windows, chunk_counts, chunk_contextual, page_label, section_carry_forward, toc_paths, toc_asof, find_units, title_lookup, ruled_tables, words_to_rows, table_runs, column_anchors, rebuilt_tables, gap_paragraphs, box_overlap, box_inside, reading_order, highlight_needles)}
 
 _WS = "[\\s\\x{001c}-\\x{001f}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{000b}]+"
 _B = "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, block_no ORDER BY text) AS rn FROM blocks WHERE doc_id IS NOT NULL) WHERE rn = 1)"
@@ -204,6 +212,41 @@ up AS (SELECT *, CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN tr
 toc AS (SELECT doc_id, nth, page_index AS page, substr(concat_ws(' > ', nullif(parent, ''), trim(title)), 1, 120) AS path FROM up WHERE page_index > 0)"""
 
 
+# The words of table blocks with their places (as _words lays them out), rows of cells, table runs and columns.
+_CELLS = f"""{_B}, l AS (SELECT concat_ws(':', doc_id, page_index, block_no) AS page, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[\\s\\x{{000b}}|:\\-]*$')) AS lines FROM b WHERE kind = 'table' AND text IS NOT NULL),
+r AS (SELECT page, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM l),
+c AS (SELECT page, nth, trim(unnest(cs)) AS cell, unnest(range(len(cs))) AS k FROM (SELECT page, nth, string_split(regexp_replace(line, '^\\s*\\||\\|\\s*$', '', 'g'), '|') AS cs FROM r)),
+s AS (SELECT *, regexp_split_to_array(cell, '[\\s\\x{{000b}}]+') AS ws, CASE WHEN k = 0 THEN 40.0 ELSE k * 120.0 + 300.0 - length(cell) * 5.0 END AS lft FROM c WHERE cell <> ''),
+w AS (SELECT page, nth, k, j, ws[j] AS text, (lft + 5.0 * (length(array_to_string(ws[1:j - 1], ' ')) + CASE WHEN j > 1 THEN 1 ELSE 0 END))::DOUBLE AS x0 FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM s)),
+p AS (SELECT page, nth AS ln, x0, text, (x0 + 5.0 * length(text))::DOUBLE AS x1, regexp_matches(text, '{layout.FOOTNOTE}') AS mark, row_number() OVER (PARTITION BY page, nth ORDER BY x0, text, x0 + 5.0 * length(text)) AS pos FROM w)""" + """,
+m AS (SELECT *, {num_text} OR text = '%' AS num, count_if(NOT mark) OVER (PARTITION BY page, ln ORDER BY pos ROWS UNBOUNDED PRECEDING) AS st FROM p),
+g AS (SELECT *, mark AND coalesce(bool_or(num) OVER (PARTITION BY page, ln, st ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM m),
+h AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY page, ln ORDER BY pos) > 9, true) AS wide FROM g WHERE NOT gone),
+i AS (SELECT *, count_if(wide) OVER (PARTITION BY page, ln ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cell FROM h),
+d0 AS (SELECT page, ln, cell, string_agg(text, ' ' ORDER BY pos) AS text, min(x0) AS x0, arg_max(x1, pos) AS x1 FROM i GROUP BY page, ln, cell),
+d1 AS (SELECT *, text <> '%' OR row_number() OVER (PARTITION BY page, ln ORDER BY cell) = 1 AS own FROM d0 WHERE text <> '$' AND NOT regexp_matches(text, '{footnote}')),
+d2 AS (SELECT *, count_if(own) OVER (PARTITION BY page, ln ORDER BY cell ROWS UNBOUNDED PRECEDING) AS part FROM d1),
+d3 AS (SELECT page, ln, part, string_agg(text, '' ORDER BY cell) AS text, min(x0) AS x0, arg_max(x1, cell) AS x1 FROM d2 GROUP BY page, ln, part),
+rw AS (SELECT page, (row_number() OVER (PARTITION BY page ORDER BY ln) - 1)::INT AS nth, 100 + ln * 14.0::DOUBLE AS y0, 110 + ln * 14.0::DOUBLE AS y1, list(text ORDER BY part) AS cells, list(x0 ORDER BY part) AS lefts, list(x1 ORDER BY part) AS rights FROM d3 GROUP BY page, ln),
+fl AS (SELECT *, len(cells) >= 2 AND len(list_filter(cells, lambda x: {num_x})) > 0 AND NOT {num_first} AS tab, len(cells) >= 2 OR regexp_matches(array_to_string(cells, ' '), '{units}') AS hdr, len(cells) = 1 AND length(cells[1]) < 100 AND NOT rtrim(cells[1]) LIKE '%.' AS lig FROM rw),
+f2 AS (SELECT *, tab OR (lig AND coalesce(lag(tab) OVER o, false) AND coalesce(lead(tab) OVER o, false)) AS ins, hdr AND NOT tab AS head FROM fl WINDOW o AS (PARTITION BY page ORDER BY nth)),
+f3 AS (SELECT *, ins AND NOT coalesce(lag(ins) OVER o, false) AS start, CASE WHEN NOT coalesce(lag(head) OVER o, false) THEN 0 WHEN NOT coalesce(lag(head, 2) OVER o, false) THEN 1 WHEN NOT coalesce(lag(head, 3) OVER o, false) THEN 2 WHEN NOT coalesce(lag(head, 4) OVER o, false) THEN 3 ELSE 4 END AS up FROM f2 WINDOW o AS (PARTITION BY page ORDER BY nth)),
+f4 AS (SELECT *, count_if(start) OVER (PARTITION BY page ORDER BY nth ROWS UNBOUNDED PRECEDING) AS run FROM f3),
+f5 AS (SELECT page, run, min(nth) AS first, max(nth) AS last, arg_min(up, nth) AS up FROM f4 WHERE ins GROUP BY page, run HAVING count_if(tab) >= 3),
+ru AS (SELECT rw.*, f5.run FROM rw JOIN f5 ON rw.page = f5.page AND rw.nth BETWEEN f5.first - f5.up AND f5.last),
+nc AS (SELECT page, run, x0, x1 FROM (SELECT page, run, unnest(cells[2:]) AS text, unnest(lefts[2:]) AS x0, unnest(rights[2:]) AS x1 FROM ru) WHERE {num_text}),
+ne AS (SELECT *, coalesce(x1 - lag(x1) OVER (PARTITION BY page, run ORDER BY x1, x0) > 14, true) AS fresh FROM nc),
+ng AS (SELECT *, count_if(fresh) OVER (PARTITION BY page, run ORDER BY x1, x0 ROWS UNBOUNDED PRECEDING) AS anchor FROM ne),
+an AS (SELECT page, run, anchor::INT AS anchor, min(x0) AS ax0, max(x1) AS ax1 FROM ng GROUP BY page, run, anchor),
+ce AS (SELECT page, run, nth, unnest(cells) AS text, unnest(lefts) AS x0, unnest(rights) AS x1, unnest(range(len(cells))) AS k FROM ru),
+ov AS (SELECT ce.*, anchor, ax0, least(x1, ax1) - greatest(x0, ax0) AS over_, abs((x0 + x1) / 2 - (ax0 + ax1) / 2) AS away FROM ce JOIN an USING (page, run)),
+pl AS (SELECT page, run, nth, k, any_value(text) AS text, max(anchor) AS many, CASE WHEN max(over_) > 0 THEN list(anchor ORDER BY over_ DESC, anchor)[1] WHEN k = 0 AND any_value(x1) <= arg_min(ax0, anchor) + 2 THEN 0 ELSE list(anchor ORDER BY away, anchor)[1] END AS col FROM ov GROUP BY page, run, nth, k),
+gr AS (SELECT page, run, nth, many, col, string_agg(text, ' ' ORDER BY k) AS text FROM pl GROUP BY page, run, nth, many, col),
+li AS (SELECT page, run, nth, many, '| ' || array_to_string(list_transform(range(many + 1), lambda j: coalesce(list_filter(any_value(cs), lambda c: c.col = j)[1].text, '')), ' | ') || ' |' AS line FROM (SELECT page, run, nth, many, list({{'col': col, 'text': text}}) AS cs FROM gr GROUP BY page, run, nth, many) GROUP BY page, run, nth, many)""".format(
+    footnote=layout.FOOTNOTE, units=layout.UNITS, **{k: f"(regexp_matches(trim(regexp_replace(regexp_replace({x}, '\\([a-z0-9]{{1,2}}\\)', '', 'g'), '[$%()]', '', 'g')), '{layout.NUMBER}') OR trim(regexp_replace(regexp_replace({x}, '\\([a-z0-9]{{1,2}}\\)', '', 'g'), '[$%()]', '', 'g')) IN ('—', '–', '-', 'NM', 'n/a', 'NA'))" for k, x in (("num_text", "text"), ("num_x", "x"), ("num_first", "cells[1]"))}
+)
+
+
 def _packed(size: int, tables: str) -> str:
     """Chunks of pages as SQL: paragraphs packed between tables, which are split on their own (``tables`` says which blocks are tables)."""
     page = "doc_id, page_index"
@@ -297,6 +340,15 @@ r AS (SELECT page, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM
 w AS (SELECT page, 100 + nth * 14.0 AS y0, 110 + nth * 14.0 AS y1, unnest(regexp_split_to_array(cell, '[\\s\\x{{000b}}]+')) AS word FROM c WHERE cell <> ''),
 x AS (SELECT page, (min(y0) + max(y1)) / 2 AS by0, max(y1) AS by1 FROM w WHERE y1 >= 40 AND y0 <= 9955 GROUP BY page)
 SELECT page, count(*) AS words FROM w JOIN x USING (page) WHERE y1 >= 40 AND y0 <= 9955 AND y1 > by0 AND y0 < by1 GROUP BY page""",
+    "box_inside": f"""WITH {_B}, l AS (SELECT concat_ws(':', doc_id, page_index, block_no) AS page, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[\\s\\x{{000b}}|:\\-]*$')) AS lines FROM b WHERE kind = 'table' AND text IS NOT NULL),
+r AS (SELECT page, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM l), c AS (SELECT page, nth, trim(unnest(string_split(regexp_replace(line, '^\\s*\\||\\|\\s*$', '', 'g'), '|'))) AS cell FROM r),
+w AS (SELECT page, 100 + nth * 14.0 AS y0, 110 + nth * 14.0 AS y1, unnest(regexp_split_to_array(cell, '[\\s\\x{{000b}}]+')) AS word FROM c WHERE cell <> ''),
+x AS (SELECT page, (min(y0) + max(y1)) / 2 AS by0, max(y1) AS by1 FROM w GROUP BY page)
+SELECT page, count(*) AS words FROM w JOIN x USING (page) WHERE y1 >= 40 AND y0 <= by1 + 20 - 45 AND (y0 + y1) / 2 BETWEEN by0 AND by1 GROUP BY page""",
+    "words_to_rows": f"WITH {_CELLS} SELECT page, nth, y0, y1, array_to_string(cells, ' | ') AS cells FROM rw",
+    "table_runs": f"WITH {_CELLS} SELECT page, run, min(nth) AS first, max(nth) AS last FROM ru GROUP BY page, run",
+    "column_anchors": f"WITH {_CELLS} SELECT page, run, anchor, ax0, ax1 FROM an",
+    "rebuilt_tables": f"WITH {_CELLS} SELECT page, run, string_agg(CASE WHEN nth = first THEN line || chr(10) || '|' || repeat(' --- |', many + 1) ELSE line END, chr(10) ORDER BY nth) AS markdown FROM (SELECT *, min(nth) OVER (PARTITION BY page, run) AS first FROM li) GROUP BY page, run",
     "reading_order": f"""WITH {_B}, p AS (SELECT *, concat_ws(':', doc_id, page_index) AS page FROM b WHERE y IS NOT NULL),
 x AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY block_no) AS nth, y, block_no::VARCHAR AS text FROM p WHERE coalesce(kind, 'text') <> 'table'),
 t AS (SELECT t.page, t.y, t.block_no::VARCHAR AS text, min(x.nth) AS nth FROM p t LEFT JOIN x ON x.page = t.page AND x.y > t.y WHERE t.kind = 'table' GROUP BY ALL),

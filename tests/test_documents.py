@@ -111,6 +111,77 @@ def test_table_is_rebuilt_from_words(spark):
     assert md.split("\n") == [want[0], "| --- | --- | --- |", *want[1:]]
 
 
+def brute_rows(words):
+    """Lines by the mean of their words' middles, cells by gaps, marks and percent signs as the docstrings say."""
+    number = lambda t: bool(re.match(layout.NUMBER, (n := re.sub(r"[$%()]", "", re.sub(r"\([a-z0-9]{1,2}\)", "", t)).strip())) or n in layout.EMPTY_CELLS)
+    lines = []
+    for w in sorted(words, key=lambda w: ((w[1] + w[3]) / 2, w[0], w[4])):
+        c = (w[1] + w[3]) / 2
+        if lines and abs(c - sum((x[1] + x[3]) / 2 for x in lines[-1]) / len(lines[-1])) <= layout.ROW_TOLERANCE:
+            lines[-1].append(w)
+        else:
+            lines.append([w])
+    out = []
+    for line in lines:
+        kept = []
+        for w in sorted(line, key=lambda w: w[0]):
+            if not (kept and re.match(layout.FOOTNOTE, w[4]) and (number(kept[-1][4]) or kept[-1][4] == "%")):
+                kept.append(w)
+        cells = []
+        for k, w in enumerate(kept):
+            if not k or w[0] - kept[k - 1][2] > layout.CELL_GAP:
+                cells.append("")
+            cells[-1] = (cells[-1] + " " + w[4]).strip()
+        final = []
+        for c in cells:
+            if c == "%" and final:
+                final[-1] += "%"
+            elif c != "$" and not re.match(layout.FOOTNOTE, c):
+                final.append(c)
+        if final:
+            out.append((min(w[1] for w in line), final))
+    return [c for _, c in sorted(out, key=lambda r: r[0])]
+
+
+def test_rows_of_words_are_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    pages = {}
+    for p in range(60):
+        words = []
+        for line in range(rng.randint(0, 9)):
+            x = 10.0
+            for _ in range(rng.randint(1, 7)):
+                t = rng.choice(["a)", "(b)", "(c)(d)", "1)", "12", "1,300", "%", "$", "x", "Loans", "(1.5)", "NM", "2)"])
+                y = 20.0 * line + rng.choice([0, 0, 1, 2, 3.5])
+                words.append((x, y, x + 5.0 * len(t), y + 10, t))
+                x += 5.0 * len(t) + rng.choice([2, 9, 9.5, 30])
+        pages[f"p{p}"] = words
+    df = spark.createDataFrame([(p, *w) for p, ws in pages.items() for w in ws] + [(None, 1.0, 1.0, 2.0, 2.0, "x"), ("p0", 1.0, 1.0, 2.0, 2.0, None)], "page string, x0 double, y0 double, x1 double, y1 double, text string")
+    got = {}
+    for r in layout.word_rows(df).orderBy("page", "nth").collect():
+        got.setdefault(r.page, []).append(list(r.cells))
+    assert got == {p: rows for p, ws in pages.items() if (rows := brute_rows(ws))}
+
+
+def test_units_row_inside_a_table_does_not_end_it(spark):
+    table = lambda k: [f"Row {k}", str(k)]
+    rows = {"units": [["T"], ["", ""][:0] or ["(in millions)"], table(1), table(2), ["(in millions)"], table(3), table(4), ["A sentence."]], "short": [table(1), ["x"], table(2), ["x"], ["y"], table(3)], "heads": [["a", "b"]] * 6 + [table(k) for k in range(3)]}
+    df = spark.createDataFrame([(p, k, 10.0 * k, 10.0 * k + 9, c, [0.0] * len(c), [9.0] * len(c)) for p, cs in rows.items() for k, c in enumerate(cs)], "page string, nth int, y0 double, y1 double, cells array<string>, left array<double>, right array<double>")
+    got = {(r.page, r.run): (r.a, r.b) for r in layout.table_runs(df).groupBy("page", "run").agg(F.min("nth").alias("a"), F.max("nth").alias("b")).collect()}
+    assert got == {("units", 1): (1, 6), ("heads", 1): (2, 8)}
+
+
+def test_toc_parents_and_titles_need_no_lists(spark):
+    rows = [("d", 1, 1, "A", 1), ("d", 2, 3, "deep", 1), ("d", 3, 2, "B", 2), ("d", 4, 3, "C", 2), ("d", 5, 12, "E", 3), ("d", 6, 1, "F", 3)]
+    toc = spark.createDataFrame(rows, "doc_id string, nth int, level int, title string, page int")
+    assert [r.path for r in layout.toc_paths(toc).orderBy("nth").collect()] == ["A", "A > deep", "A > B", "B > C", "C > E", "F"]
+    blocks = [("d", 1, k, "text", t) for k, t in enumerate(["Old Title", "one two.", "three.", "four.", "five."])] + [("d", 1, 9, "table", "| a |"), ("d", 1, 10, "table", "| b |"), ("e", 1, 0, "table", "| c |"), ("d", 1, 7, None, "New Title")]
+    b = spark.createDataFrame(blocks, "doc_id string, page_index int, block_no int, kind string, text string")
+    assert {(r.doc_id, r.block_no): r.found_title for r in layout.titles(b).collect()} == {("d", 9): "New Title", ("d", 10): "New Title", ("e", 0): ""}
+
+
 def test_units_and_titles(spark):
     df = spark.createDataFrame([("(Dollars in millions)", "x"), (None, "(in thousands, except per share)"), (None, None)], "a string, b string")
     assert [r.u for r in df.select(layout.find_units(F.col("a"), F.col("b")).alias("u")).collect()] == ["in millions", "in thousands", ""]
