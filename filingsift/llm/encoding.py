@@ -12,6 +12,7 @@ The encoding of a document needs nothing of another: one narrow ``mapInArrow`` o
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -20,13 +21,16 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the public tokenizer files lie; every function takes another path.
+#: Where the public tokenizer files lie; every function takes another path. A worker that has no such path takes the file of
+#: that name which the session shipped (``SparkContext.addFile``).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Encodings of distinct pieces that a worker keeps; beyond it the memory is emptied, which changes no result.
-KEPT_PIECES = 1_000_000
+#: Encodings of distinct pieces, and pairs of tokens with whether one may follow the other, that a worker keeps; beyond it the
+#: memory is emptied, which changes no result.
+KEPT_PIECES, KEPT_PAIRS = 1_000_000, 2_000_000
 
 # The tokenizer's published split pattern, with its white space spelled out; the second is the first for
 # texts of ASCII characters only.
@@ -47,7 +51,8 @@ class Encoder(dict):
 
     def __init__(self, path: str = VOCABULARY):
         super().__init__()
-        with open(path, encoding="utf-8") as f:
+        found = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))  # shipped by SparkContext.addFile
+        with open(found, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = _byte_letters()
         vocabulary = {s: i for s, i in model["vocab"].items() if all(c in letters for c in s)}
@@ -84,6 +89,8 @@ class Encoder(dict):
         known = self.follows.get((left, right))
         if known is None:
             known = True
+            if len(self.follows) >= KEPT_PAIRS:
+                self.follows.clear()
             for a, a_until in self._edge(left, 1):
                 for b, b_until in self._edge(right, 0):
                     when = self.merge_of.get((a, b))

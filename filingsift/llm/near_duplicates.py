@@ -244,14 +244,16 @@ class Joined:
         self.records = records.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
         self.threshold, self.words, self.least_tokens, self.long_list = threshold, words, least_tokens, long_list
         self.spark = records.sparkSession
-        every = self._read()
+        every = self.every = self._read()
         self.counts = self.spark.sparkContext.broadcast(sketch.counted(every.where("data is not null").select("block", "part", "data"), ORDER_BITS))
         members = every.where("cls is not null").select("cls", "cid", "id")
         held = members.where("cid is not null")
         first = held.groupBy("cls").agg(F.min("cid").alias("cid"))
         # one text for each class: those that another task holds as well are left out of the texts
         again = held.join(first.withColumnRenamed("cid", "first"), "cls").where("cid <> first").select("cid")
-        self.texts = every.where("text is not null").select("cid", "text").join(again, "cid", "left_anti")
+        again = written(again, "again")
+        maybe, surely = sketch.split_by(every.where("text is not null").select("cid", "text"), "cid", again)
+        self.texts = surely.unionByName(maybe.join(again, "cid", "left_anti"))
         self.members = members.select("cls", "id").join(first, "cls").select(F.col("cid").alias("cls"), "id")
         self.links = self._links()
 
@@ -302,8 +304,9 @@ class Joined:
     def _candidates(self) -> DataFrame:
         """Pairs of classes (a the smaller set) that have enough keys in common, at positions that allow the overlap."""
         words, least, threshold, counts, most = self.words, self.least_tokens, self.threshold, self.counts, self.long_list
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.texts.rdd.getNumPartitions())
-        ranges = 1 << min(20, max(4, (2 * tasks - 1).bit_length()))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # some for each task, so that they fill alike, but entries enough for a block
+        ranges = 1 << min(20, max(4, min(8 * tasks - 1, max(4095, 2 * tasks - 1)).bit_length()))
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: list[tuple[np.ndarray, ...]] = []
@@ -386,7 +389,8 @@ class Joined:
                         near = np.add.reduceat(np.where(at < NEAR, mix(hashes), np.uint64(0)), starts)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row[starts])), pa.array(np.diff(np.r_[starts, len(row)]).astype(np.int32)), pa.array(near.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["cls", "n", "near", "shingles"])
 
-        texts = self.texts.join(wanted, "cid", "left_semi").select("cid", "text")
+        wanted = written(wanted, "wanted")
+        texts = sketch.split_by(self.every.where("text is not null").select("cid", "text"), "cid", wanted)[0].join(wanted, "cid", "left_semi")
         return written(texts.mapInArrow(run, "cls long, n int, near long, shingles array<long>"), "sets")
 
 

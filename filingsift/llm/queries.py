@@ -56,13 +56,19 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     types = quality.text_types(table(spark, folder, "chunks"), table(spark, folder, "common_words"))
-    return types.where("kind is null or kind <> 'table'").where(quality.not_prose()).select("chunk_id")
+    return types.where("kind is null or kind <> 'table'").where("doubtful").where(quality.not_prose()).select("chunk_id")
 
 
 def p5_types(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_types(table(spark, folder, "chunks"), table(spark, folder, "common_words"))
 
 
+def p5_types_by_kind(spark: SparkSession, folder: str) -> DataFrame:
+    """How the types that were learned without labels meet the kinds that the table states."""
+    types = quality.text_types(table(spark, folder, "chunks"), table(spark, folder, "common_words"))
+    return types.groupBy(F.coalesce("kind", F.lit("none")).alias("kind"), "text_type").agg(F.count("*").alias("texts"), F.round(F.avg("p_table"), 6).alias("p_table"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encoded(table(spark, folder, "documents"))
 
@@ -90,7 +96,7 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(documents, spans.shared_spans(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_types, p6_ids, p7_mix, p7_blocks, p7_shares, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_types, p5_types_by_kind, p6_ids, p7_mix, p7_blocks, p7_shares, p8_found, p8_coverage)}
 # White space as SPACE has it, for RE2.
 _WS = "[\\s\\x{000b}\\x{001c}-\\x{001f}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _NWS = "[^" + _WS[1:]

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filingsift.functions.shared import written
+
 #: Partial sketches that one merging task takes at most: more tasks merge in further levels.
 FAN_IN = 128
 #: Values that a task gathers before it writes them into a partial sketch.
@@ -139,13 +141,33 @@ def repeated(partial: DataFrame, bits: int, rows: int = 1) -> np.ndarray:
     return out
 
 
-def marked(keys: DataFrame, bits: int) -> np.ndarray:
-    """The bits of a sketch in which each of ``keys`` (one column of 64-bit values) is found by ``may_repeat``."""
+def marked(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, their number as a power of two) of a sketch in which ``may_repeat`` finds each of ``keys`` (one column of 64-bit
+    values): 16 bits a key, up to 2 ** 28 (32 MB); fuller ones let others through as well, so an exact join must follow."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from partial_repeated((np.repeat(b.column(0).to_numpy().view(np.uint64), 2) for b in batches), bits)
 
-    return repeated(keys.mapInArrow(mark, PARTIAL), bits)
+    keys = written(keys, "keys")
+    bits = min(28, max(12, (16 * keys.count()).bit_length()))
+    return repeated(keys.mapInArrow(mark, PARTIAL), bits), bits
+
+
+def split_by(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` (64 bits) may be one of ``keys``, and those whose key surely is none. Where few
+    are meant, a join with ``keys`` then has to move few rows."""
+    bits, size = marked(keys)
+    seen = rows.sparkSession.sparkContext.broadcast(bits)  # 32 MB at most
+    at = rows.columns.index(key)
+
+    def side(maybe: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may_repeat(seen.value, batch.column(at).to_numpy().view(np.uint64), size) == maybe))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return side(True), side(False)
 
 
 def may_repeat(sketch: np.ndarray, values: np.ndarray, bits: int, rows: int = 1) -> np.ndarray:

@@ -36,8 +36,6 @@ from filingsift.llm.hashing import Ranges, text_slices
 PICK_SHARE = 2 / 3
 #: The sketch's rows of buckets, the buckets of each for one expected pick, and the most of them (as a power of two, 32 MB of bits).
 SKETCH_ROWS, ROOM, MOST_BITS = 2, 16, 28
-#: Bits of the sketch of the documents whose windows are hashed one by one.
-ASKED_BITS = 24
 RUNS = "pick long, run long, doc_id {kind}, start int, count int"
 WINDOWS = "hash long, doc_id {kind}, first int"
 
@@ -111,12 +109,7 @@ def _windows_of(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """(hash, doc_id, first) of the single windows of ``runs``, hashed where their text is."""
     wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))  # the runs of one document
     key = F.xxhash64("doc_id").alias("key")
-    asked = docs.sparkSession.sparkContext.broadcast(sketch.marked(runs.select(key), ASKED_BITS))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # most texts without such a run stay where they are
-            kept = sketch.may_repeat(asked.value, batch.column(2).to_numpy().view(np.uint64), ASKED_BITS)
-            yield batch.filter(pa.array(kept)).select([0, 1])
+    docs, _ = sketch.split_by(docs.select("doc_id", "text", key), "key", runs.select(key).distinct())  # the others hold no such run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +132,6 @@ def _windows_of(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(at.astype(np.int32))], ["hash", "doc_id", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text", key).mapInArrow(held, f"doc_id {kind}, text string")
     return docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, WINDOWS.format(kind=kind))
 
 
