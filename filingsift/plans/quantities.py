@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingsift.operators.quantities import quantities
+from filingsift.operators.quantities import hidden_units, quantities
 from filingsift.sources.tables import table
 
 
@@ -16,7 +16,12 @@ def p2_converted(spark: SparkSession, folder: str) -> DataFrame:
     return quantities(table(spark, folder, "questions"), table(spark, folder, "blocks"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_converted)}
+def p2_hidden(spark: SparkSession, folder: str) -> DataFrame:
+    """How well hidden units are predicted, by unit."""
+    return hidden_units(table(spark, folder, "questions"), table(spark, folder, "blocks"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p2_hidden)}
 
 # Spellings stand between non-letters: RE2 has no look-around, so texts are padded and neighbours are matched instead.
 _N = r"(\d[\d,]*(?:\.\d+)?|\.\d+)"

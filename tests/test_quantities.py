@@ -68,6 +68,21 @@ def test_held_out_accuracy(spark):
     assert n > 60 and right > 0.95
 
 
+def test_disputed_and_hidden_units(spark):
+    """Percent values from 1 to 60, fractions below 1: a value that two places name differently follows its magnitude."""
+    asked = [(f"p{i}", "numeric", "What for rate at X?", ("", 1.0 + i % 59 + 0.25, "percent", None), None) for i in range(400)]
+    asked += [(f"f{i}", "numeric", "What for rate at X?", ("", (1 + i % 59) / 1000, "fraction", None), None) for i in range(400)]
+    asked += [("both1", "numeric", "What for rate at X?", ("18.25%", 18.25, "fraction", None), None), ("both2", "numeric", "What for rate at X?", ("1.8%", 0.018, "fraction", None), None)]
+    _, blocks = tables(spark)
+    rows = spark.createDataFrame(asked, Q)
+    got = {r.record_id: r for r in q.quantities(rows, blocks.where("false")).collect()}
+    assert got["both1"].unit == "percent" and got["both1"].amount == 1825 and got["both2"].unit == "fraction" and got["both2"].amount == 180
+    assert got["both1"].confidence >= q.CONFIDENT and got["p3"].confidence == 1.0
+    hidden = {r.unit: r for r in q.hidden_units(rows, blocks.where("false")).collect()}
+    assert set(hidden) == {"percent", "fraction"} and all(r.accuracy == 1.0 and r.converted_right == r.converted > 50 for r in hidden.values())
+    assert q.hidden_units(rows.where("id = 'p3'"), blocks.where("false")).count() <= 1
+
+
 @pytest.mark.parametrize("text", ["", "n/a", "see note", None, "meaningless"])
 def test_no_unit(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(q.unit_of(F.col("t")).alias("u")).first().u is None
