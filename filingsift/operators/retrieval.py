@@ -92,59 +92,94 @@ def filter_members(filters: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def postings(texts: DataFrame, key: str = "chunk_id", text: str = "embed_text") -> DataFrame:
-    """(key, term, tf, dl): the term counts of every text, each key once; a text without tokens has the term ``_``."""
-    rows = texts.select(key, text).where(F.col(key).isNotNull()).dropDuplicates([key])
+    """(key, term, tf, dl, and ``grp`` if the texts have it): the term counts of every text, each key once (of repeated rows
+    the least text); a text without tokens has the term ``_``. The rows of one text stay in one partition."""
+    rest = [c for c in ("grp",) if c in texts.columns]
+    rows = texts.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(text, *rest)).alias("r")).select(key, F.col("r")[text].alias(text), *[F.col("r")[c].alias(c) for c in rest])
     words = let(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), lambda w: F.when(F.size(w) == 0, F.array(F.lit("_"))).otherwise(w))
-    rows = rows.select(key, words.alias("words"))  # computed below the explode, so once a text
-    return rows.select(key, F.explode("words").alias("term"), F.size("words").alias("dl")).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    rows = rows.select(key, *rest, words.alias("words"))  # computed below the explode, so once a text
+    counted = rows.select(key, *rest, F.explode("words").alias("term"), F.size("words").alias("dl")).groupBy(key, "term")
+    return counted.agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), *[F.first(c).alias(c) for c in rest])
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, members: DataFrame | None = None, key: str = "chunk_id", owner: DataFrame | None = None) -> DataFrame:
+def term_counts(index: DataFrame, by: str) -> DataFrame:
+    """(by, term, df): the texts that hold a term."""
+    return index.groupBy(by, "term").agg(F.count("*").alias("df"))
+
+
+def text_sizes(index: DataFrame, by: str) -> DataFrame:
+    """(by, n, words): texts and words. The shares tf / dl of a text add up to one, so texts are counted without a distinct."""
+    return index.groupBy(by).agg(F.round(F.sum(F.col("tf") / F.col("dl"))).cast("long").alias("n"), F.sum("tf").alias("words"))
+
+
+def bm25(queries: DataFrame, index: DataFrame, k: int, members: DataFrame | None = None, key: str = "chunk_id", owner: DataFrame | None = None, groups: DataFrame | None = None, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k best texts of each query under Okapi BM25, with ``owner`` (key, owner) those of
     each query and owner, the statistics being those of all texts; then there is a column owner.
 
-    ``queries`` has query_id and text, and with ``members`` (filter_id, key) also filter_id: then statistics are those of the
-    filter's texts alone. Repeated query terms count again, ties keep the order of the key, and where fewer than k texts have
-    a positive score, texts of score zero fill up. A term in more than half of the texts gets EPSILON times the mean idf.
+    ``queries`` has query_id and text. With ``members`` (filter_id, key) or ``groups`` (filter_id, grp; the index has grp) it
+    has filter_id too: then statistics are those of the filter's texts alone; with groups they are sums over groups, so the
+    index is not copied for each filter. ``stats`` are known ``term_counts`` and ``text_sizes`` (by grp). Repeated query
+    terms count again, ties keep the order of the key, and where fewer than k texts have a positive score, texts of score
+    zero fill up. A term in more than half of the texts gets EPSILON times the mean idf.
+
+    Only postings of asked terms are moved, once, to the partition of their text; there they are scored, and only the k
+    best of each partition go on.
     """
-    if members is None:
-        queries, index = queries.withColumn("filter_id", F.lit(0).cast("long")), index.withColumn("filter_id", F.when(F.col(key).isNotNull(), F.lit(0).cast("long")))
+    if members is not None:
+        index, by = index.join(members, key), "filter_id"
+    elif groups is not None:
+        by = "grp"
     else:
-        index = index.join(members, key)
+        queries, by = queries.withColumn("filter_id", F.lit(0).cast("long")), "grp"
+        index = index if stats else index.withColumn("grp", F.when(F.col(key).isNotNull(), F.lit(0).cast("long")))
+    df, sizes = stats or (term_counts(index, by), text_sizes(index, by))
+    if members is None:
+        of = (lambda d: d.join(groups, "grp")) if groups is not None else (lambda d: d.withColumn("filter_id", F.lit(0).cast("long")))
+        df = of(df).groupBy("filter_id", "term").agg(F.sum("df").alias("df"))
+        sizes = of(sizes).groupBy("filter_id").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    sizes = sizes.select("filter_id", "n", (F.col("words") / F.col("n")).alias("avgdl"))
     asked = queries.select("query_id", "filter_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "filter_id", "term").agg(F.count("*").alias("qf"))
-    sizes = index.select("filter_id", key, "dl").distinct().groupBy("filter_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("filter_id", "term").agg(F.count("*").alias("df")).join(sizes, "filter_id")
-    idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    idf = written(idf.select("filter_id", "term", "idf", "avgdl"), "idf")  # with the postings, the index of these texts
+    idf = df.join(sizes, "filter_id").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf = written(idf.select("filter_id", "term", "idf", "avgdl"), "idf")
     mean = idf.groupBy("filter_id").agg(F.avg("idf").alias("mean_idf"))
     terms = asked.join(idf, ["filter_id", "term"]).join(mean, "filter_id")
     weight = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")) * F.col("qf")
     # written, so that its size is known and the smaller side of the join with the postings is built, never the postings
     terms = written(terms.select("query_id", "filter_id", "term", "avgdl", weight.alias("weight")), "terms")
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    of_owner = () if owner is None else ("owner",)
-    by = ("query_id", *of_owner)
+    by = ("query_id", *(() if owner is None else ("owner",)))
+    on = ["filter_id", "term"] if members is not None else ["grp", "term"] if groups is not None else ["term"]
+
+    def grouped(of: DataFrame) -> DataFrame:
+        return of if groups is None else of.join(groups, "filter_id")
 
     def owned(of: DataFrame) -> DataFrame:
         return of if owner is None else of.join(owner.select(key, "owner"), key)
 
     def scored(of: DataFrame) -> DataFrame:
-        return of.join(index, ["filter_id", "term"]).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+        of = grouped(of)
+        met = index.join(of.select(*on).distinct(), on, "left_semi").select(*on, key, "tf", "dl").repartition(key)
+        return met.join(of, on).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
 
     order = (F.desc("score"), F.col(key))
     best = written(top(owned(scored(terms)), k, *order, by=by), "best")  # k rows a query, or a query and owner
     positive = best.where("score > 0").groupBy(*by).agg(F.count("*").alias("found"))
     short = queries.select("query_id", "filter_id")
+    texts = index.select(*(["filter_id"] if members is not None else ["grp"] if groups is not None else []), key).distinct()
+    if members is None:
+        texts = texts.join(groups, "grp") if groups is not None else texts.withColumn("filter_id", F.lit(0).cast("long"))
     if owner is not None:  # an owner with fewer than k texts in all has nothing to fill up with
-        sizes = owned(index.select("filter_id", key).distinct()).groupBy("filter_id", "owner").agg(F.count("*").alias("texts"))
-        short = short.join(sizes, "filter_id")
+        short = short.join(owned(texts).groupBy("filter_id", "owner").agg(F.count("*").alias("texts")), "filter_id")
     wanted = F.lit(k) if owner is None else F.least("texts", F.lit(k))
-    short = short.join(positive, [*by], "left").where(F.coalesce("found", F.lit(0)) < wanted).select("filter_id", *by)
+    short = written(short.join(positive, [*by], "left").where(F.coalesce("found", F.lit(0)) < wanted).select("filter_id", *by), "short")
     if short.isEmpty():
         return best
-    # queries with too few hits take the first texts of their filter (and owner) that match nothing
-    matched = scored(terms.join(short.select("query_id"), "query_id", "left_semi")).select("query_id", key)
-    idle = short.join(owned(index.select("filter_id", key).distinct()), ["filter_id", *of_owner]).join(matched, ["query_id", key], "left_anti")
+    # queries with too few hits take the first texts of their filter (and owner) that match nothing: these are among the
+    # first k + m, where m texts match at most
+    matched = written(scored(terms.join(short.select("query_id").distinct(), "query_id", "left_semi")).select("query_id", key), "matched")
+    many = matched.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    first = top(owned(texts), k + many, F.col(key), by=("filter_id", *by[1:])).drop("rank")
+    idle = short.join(first, ["filter_id", *by[1:]]).join(matched, ["query_id", key], "left_anti")
     idle = top(idle.select(*by, key), k, F.col(key), by=by).select(*by, key, F.lit(0.0).alias("score"))
     return top(best.drop("rank").unionByName(idle), k, *order, by=by)
 
@@ -268,10 +303,10 @@ def reranked(hits: DataFrame, queries: DataFrame, texts: DataFrame, k: int, key:
     return top(rows.withColumn("score", F.round(share, 6)), k, F.desc("score"), F.col("first_rank")).select("query_id", key, "score", "rank")
 
 
-def balanced(queries: DataFrame, index: DataFrame, owner: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+def balanced(queries: DataFrame, index: DataFrame, owner: DataFrame, k: int, key: str = "chunk_id", stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best texts of each owner (say, bank) for each query under BM25, so that a comparison sees every side: each owner
     is ranked among its own texts, however many of another's score higher. ``owner`` has key and owner, each key once."""
-    return bm25(queries, index, k, key=key, owner=owner)
+    return bm25(queries, index, k, key=key, owner=owner, stats=stats)
 
 
 def substring_search(chunks: DataFrame, phrase: str, n: int, ticker: str | None = None, year: int | None = None) -> DataFrame:

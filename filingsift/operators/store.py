@@ -29,10 +29,10 @@ def computed_once(requests: DataFrame, cache: DataFrame, compute: Callable[[Data
 
 
 def built(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The table at ``path``, built only if there is none (or by force)."""
+    """The table at ``path``, built only if there is none that was written to its end (or by force)."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    exists = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    exists = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
     if force or not exists:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -106,17 +106,22 @@ def verdict_kappa(spark: SparkSession, folder: str) -> DataFrame:
     return m.kappa(_verdicts(spark, folder), "gold", "pred")
 
 
+def _hits(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
+    found = _index(spark, folder)
+    return retrieval.bm25(queries, found.postings, TOP_K, stats=found.stats)
+
+
 def claim_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of the claims whose number is divisible by 50, each searched among all chunks."""
     claims = m.once(table(spark, folder, "claims"), "id", "claim").where("try_cast(substr(id, 2) as int) % 50 = 0")
-    hits = retrieval.bm25(claims.select(F.col("id").alias("query_id"), F.col("claim").alias("text")), _index(spark, folder), TOP_K)
+    hits = _hits(spark, folder, claims.select(F.col("id").alias("query_id"), F.col("claim").alias("text")))
     ranked = hits.select("query_id", F.regexp_extract("chunk_id", r"^(.*):p\d+:c\d+$", 1).alias("doc_id"), F.regexp_extract("chunk_id", r":p(\d+):c\d+$", 1).cast("int").alias("page"), "rank")
     return m.retrieval_metrics(ranked, m.expected_pages(claims, "id").withColumnRenamed("id", "query_id"), "query_id")
 
 
 def ask(spark: SparkSession, folder: str) -> DataFrame:
     queries = asked(spark, folder)
-    rows = prompting.with_excerpts(queries, retrieval.bm25(queries, _index(spark, folder), TOP_K), table(spark, folder, "chunks"))
+    rows = prompting.with_excerpts(queries, _hits(spark, folder, queries), table(spark, folder, "chunks"))
     answer, abstain = prompting.offline_answer(F.col("text"), F.col("excerpts"))
     user = prompting.prompt("QUESTION", F.col("excerpts"), F.col("text"))
     return rows.select("query_id", prompting.prompt_hash(prompting.ASK, user).alias("prompt_hash"), answer.alias("answer"), abstain.alias("abstain"), F.size("excerpts").alias("excerpts"))
@@ -124,7 +129,7 @@ def ask(spark: SparkSession, folder: str) -> DataFrame:
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     claims = m.once(table(spark, folder, "claims"), "id", "claim").where("try_cast(substr(id, 2) as int) % 50 = 0").select(F.col("id").alias("query_id"), F.col("claim").alias("text"))
-    rows = prompting.with_excerpts(claims, retrieval.bm25(claims, _index(spark, folder), TOP_K), table(spark, folder, "chunks"))
+    rows = prompting.with_excerpts(claims, _hits(spark, folder, claims), table(spark, folder, "chunks"))
     said, at = prompting.offline_verdict(F.col("text"), F.col("excerpts"))
     user = prompting.prompt("CLAIM", F.col("excerpts"), F.col("text"))
     return rows.select("query_id", prompting.prompt_hash(prompting.VERIFY, user).alias("prompt_hash"), said.alias("verdict"), at.alias("evidence"))

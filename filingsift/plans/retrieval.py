@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingsift.functions.shared import written
+from filingsift.operators import index
 from filingsift.operators import retrieval as r
 from filingsift.sources.tables import table
 
@@ -22,12 +23,17 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks")
 
 
-def _index(spark: SparkSession, folder: str) -> DataFrame:
-    return written(r.postings(_chunks(spark, folder)), "postings")
+def _index(spark: SparkSession, folder: str) -> index.Index:
+    return index.opened(spark, _chunks(spark, folder))
+
+
+def _bm25(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    found = _index(spark, folder)
+    return r.bm25(asked(spark, folder), found.postings, k, stats=found.stats)
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return r.bm25(asked(spark, folder), _index(spark, folder), TOP_K).select("query_id", "chunk_id", "score", "rank")
+    return _bm25(spark, folder, TOP_K).select("query_id", "chunk_id", "score", "rank")
 
 
 def _resolved(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,10 +42,16 @@ def _resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_filtered_topk(spark: SparkSession, folder: str) -> DataFrame:
-    resolved = _resolved(spark, folder).withColumn("filter_id", F.xxhash64("tickers", "years"))
-    members = r.filter_members(resolved.select("filter_id", "tickers", "years").distinct(), _chunks(spark, folder).where("chunk_id is not null"))
+    found = _index(spark, folder)
+    resolved = written(_resolved(spark, folder).withColumn("filter_id", F.xxhash64("tickers", "years")), "resolved")
     queries = asked(spark, folder).join(resolved.select("query_id", "filter_id"), "query_id")
-    return r.bm25(queries, _index(spark, folder), TOP_K, written(members, "members")).select("query_id", "chunk_id", "score", "rank")
+    return r.bm25(queries, found.postings, TOP_K, groups=filter_groups(resolved, found), stats=found.stats).select("query_id", "chunk_id", "score", "rank")
+
+
+def filter_groups(resolved: DataFrame, found: index.Index) -> DataFrame:
+    """(filter_id, grp): the groups of chunks (by ticker and year) that each filter admits."""
+    members = r.filter_members(resolved.select("filter_id", "tickers", "years").distinct(), found.groups.withColumnRenamed("grp", "chunk_id"))
+    return written(members.select("filter_id", F.col("chunk_id").alias("grp")).distinct(), "groups")
 
 
 def detect_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,11 +95,11 @@ def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    queries, chunks = asked(spark, folder), _chunks(spark, folder).select("chunk_id", "embed_text").where("chunk_id is not null").dropDuplicates(["chunk_id"])
-    vectors = r.dense_vector(r.hash_embed(chunks), "chunk_id")
+    queries = asked(spark, folder)
+    vectors = r.dense_vector(_index(spark, folder).vectors, "chunk_id")
     query_vectors = r.dense_vector(r.hash_embed(queries, "query_id", "text"), "query_id")
     dense = r.cosine(query_vectors, vectors, CANDIDATES)
-    sparse = r.bm25(queries, _index(spark, folder), CANDIDATES)
+    sparse = _bm25(spark, folder, CANDIDATES)
     return r.fused(dense, sparse, k)
 
 
@@ -96,13 +108,13 @@ def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = r.bm25(asked(spark, folder), _index(spark, folder), CANDIDATES)
-    return r.reranked(hits, asked(spark, folder), _chunks(spark, folder).select("chunk_id", "embed_text"), TOP_K)
+    hits = _bm25(spark, folder, CANDIDATES)
+    return r.reranked(hits, asked(spark, folder), _index(spark, folder).chunks.select("chunk_id", "embed_text"), TOP_K)
 
 
 def balanced_topk(spark: SparkSession, folder: str) -> DataFrame:
-    owner = _chunks(spark, folder).select("chunk_id", F.regexp_extract("doc_id", "^([^_]*)", 1).alias("owner")).distinct()
-    return r.balanced(asked(spark, folder), _index(spark, folder), owner, 2).select("query_id", "owner", "chunk_id", "score", "rank")
+    owner = _chunks(spark, folder).where("chunk_id is not null").groupBy("chunk_id").agg(F.min(F.regexp_extract("doc_id", "^([^_]*)", 1)).alias("owner"))
+    return r.balanced(asked(spark, folder), r.postings(_chunks(spark, folder)), owner, 2).select("query_id", "owner", "chunk_id", "score", "rank")
 
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, detect_filter, filter_fallback, filter_isin, substring_search, dense_topk, dense_filtered_topk, hash_embed, hybrid_topk, rerank_topk, balanced_topk)}
