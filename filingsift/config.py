@@ -40,6 +40,16 @@ class Retrieval:
             raise ValueError(f"unknown mode {self.mode}")
 
 
+@dataclass(frozen=True)
+class Completion:
+    provider: str = "offline"
+    model: str = "rules"
+    temperature: float = 0.0
+    max_tokens: int = 800
+    price_in: float = 0.40
+    price_out: float = 1.60
+
+
 @dataclass(frozen=True)
 class Config:
     name: str = "default"
@@ -47,6 +57,7 @@ class Config:
     chunking: Chunking = field(default_factory=Chunking)
     embedding: Embedding = field(default_factory=Embedding)
     retrieval: Retrieval = field(default_factory=Retrieval)
+    completion: Completion = field(default_factory=Completion)
 
     @property
     def index_id(self) -> str:
@@ -59,7 +70,7 @@ def _made(kind: type, values: dict):
     known = {f.name: f for f in fields(kind)}
     if unknown := set(values) - set(known):
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-    parts = {"chunking": Chunking, "embedding": Embedding, "retrieval": Retrieval}
+    parts = {"chunking": Chunking, "embedding": Embedding, "retrieval": Retrieval, "completion": Completion}
     return kind(**{k: _made(parts[k], v) if k in parts and not is_dataclass(v) else v for k, v in values.items()})
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingsift.config import Config, Retrieval
 from filingsift.functions import answers as a
+from filingsift.functions.shared import shared_dir, written
 from filingsift.operators import metrics as m
-from filingsift.operators import prompting, retrieval
+from filingsift.operators import pipeline, retrieval, store
 from filingsift.plans.retrieval import TOP_K, _index, asked
 from filingsift.sources.tables import table
 
@@ -63,17 +68,32 @@ def main_table(spark: SparkSession, folder: str) -> DataFrame:
     return means.select("config", *[a.shown(F.col(k)).alias(k) for k in names])
 
 
-def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Faithfulness of every logged answer as an offline judge sees it: each number of the answer is a claim, supported if a
-    cited chunk holds it, and unsupported where none is cited or known. An answer without numbers claims nothing: no row."""
-    rows = m.logged(table(spark, folder, "query_log")).where("answer is not null")
+def _claimed(log: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(log_id, number, supported): each number of a logged answer is a claim, supported if a cited chunk holds it."""
+    rows = log.where("answer is not null")
     numbers = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(\d[\d,.]*\d|\d)"), F.lit(1)))
     cited = rows.select("log_id", F.explode("good").alias("at"), "retrieved").select("log_id", F.get("retrieved", (F.col("at") - 1).cast("int"))["chunk_id"].alias("chunk_id"))
-    texts = table(spark, folder, "chunks").where("text is not null").select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    held = rows.select("log_id", F.explode(numbers).alias("number")).join(cited.join(texts, "chunk_id").select("log_id", "text"), "log_id", "left")
-    held = held.groupBy("log_id", "number").agg(F.coalesce(F.bool_or(F.contains("text", "number")), F.lit(False)).alias("supported"))
+    said = rows.select("log_id", F.explode(numbers).alias("number"))
+    texts = cited.join(chunks.where("text is not null").select("chunk_id", "text"), "chunk_id").select("log_id", "text").distinct()
+    held = said.join(texts, "log_id", "left")
+    return held.groupBy("log_id", "number").agg(F.coalesce(F.bool_or(F.contains("text", "number")), F.lit(False)).alias("supported"))
+
+
+def _judged(log: DataFrame, chunks: DataFrame) -> DataFrame:
     claims = F.to_json(F.struct(F.collect_list(F.struct(F.col("number").alias("claim"), "supported")).alias("claims")))  # the numbers of one answer
-    return held.groupBy("log_id").agg(claims.alias("judged")).select("log_id", F.round(a.faithfulness(F.try_parse_json("judged")), 6).alias("faithfulness"))
+    judged = _claimed(log, chunks).groupBy("log_id").agg(claims.alias("judged"))
+    return judged.select("log_id", F.round(a.faithfulness(F.try_parse_json("judged")), 6).alias("faithfulness"))
+
+
+def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Faithfulness of every logged answer as an offline judge sees it: each number of the answer is a claim, supported if a
+    cited chunk holds it, and unsupported where none is cited or known. An answer without numbers claims nothing: no row."""
+    return _judged(m.logged(table(spark, folder, "query_log")), table(spark, folder, "chunks"))
+
+
+def judged_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """The claims behind ``judged_answers``, one row each."""
+    return _claimed(m.logged(table(spark, folder, "query_log")), table(spark, folder, "chunks"))
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,20 +139,93 @@ def claim_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return m.retrieval_metrics(ranked, m.expected_pages(claims, "id").withColumnRenamed("id", "query_id"), "query_id")
 
 
+# The configurations of the evaluation run, from plain to all there is.
+CONFIGS = [
+    Config("01_dense", retrieval=Retrieval(mode="dense", metadata_filter=False)),
+    Config("02_words", retrieval=Retrieval(mode="bm25", metadata_filter=False)),
+    Config("03_both_filtered", retrieval=Retrieval(mode="hybrid")),
+    Config("04_second_look", retrieval=Retrieval(mode="hybrid", rerank=True)),
+]
+#: What ``ask`` and ``verify`` run under.
+SHOWN = Config("words_filtered", retrieval=Retrieval(mode="bm25"))
+
+
+def _claims(spark: SparkSession, folder: str) -> DataFrame:
+    claims = m.once(table(spark, folder, "claims"), "id", "claim").where("try_cast(substr(id, 2) as int) % 50 = 0")
+    return claims.select(F.col("id").alias("query_id"), F.col("claim").alias("text"))
+
+
+def _alias(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.aliases(table(spark, folder, "filings"))
+
+
 def ask(spark: SparkSession, folder: str) -> DataFrame:
-    queries = asked(spark, folder)
-    rows = prompting.with_excerpts(queries, _hits(spark, folder, queries), table(spark, folder, "chunks"))
-    answer, abstain = prompting.offline_answer(F.col("text"), F.col("excerpts"))
-    user = prompting.prompt("QUESTION", F.col("excerpts"), F.col("text"))
-    return rows.select("query_id", prompting.prompt_hash(prompting.ASK, user).alias("prompt_hash"), answer.alias("answer"), abstain.alias("abstain"), F.size("excerpts").alias("excerpts"))
+    """The questions of the query set through the pipeline: filter, words, prompt, answer, citations."""
+    rows, _ = pipeline.ask(asked(spark, folder), _index(spark, folder), _alias(spark, folder), SHOWN)
+    return rows.select("query_id", "answer", "abstain", F.array_join("citations.chunk_id", ",").alias("cited"), F.array_join("retrieved.chunk_id", ",").alias("retrieved"), "invalid_citations", "usd")
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
-    claims = m.once(table(spark, folder, "claims"), "id", "claim").where("try_cast(substr(id, 2) as int) % 50 = 0").select(F.col("id").alias("query_id"), F.col("claim").alias("text"))
-    rows = prompting.with_excerpts(claims, _hits(spark, folder, claims), table(spark, folder, "chunks"))
-    said, at = prompting.offline_verdict(F.col("text"), F.col("excerpts"))
-    user = prompting.prompt("CLAIM", F.col("excerpts"), F.col("text"))
-    return rows.select("query_id", prompting.prompt_hash(prompting.VERIFY, user).alias("prompt_hash"), said.alias("verdict"), at.alias("evidence"))
+    """The claims of the query set through the pipeline."""
+    rows, _ = pipeline.verify(_claims(spark, folder), _index(spark, folder), _alias(spark, folder), SHOWN)
+    return rows.select("query_id", "verdict", "explanation", F.array_join("evidence.chunk_id", ",").alias("evidence"), F.array_join("retrieved.chunk_id", ",").alias("retrieved"), "usd")
+
+
+def prompt_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """The identity of every prompt of the query set, and what of it the cache of an earlier run answers."""
+    found, alias, queries = _index(spark, folder), _alias(spark, folder), asked(spark, folder)
+    _, cache = pipeline.ask(queries.where("pmod(xxhash64(query_id), 2) = 0"), found, alias, SHOWN)
+    rows, _ = pipeline.ask(queries, found, alias, SHOWN, cache)
+    return rows.select("query_id", "prompt_hash", "cached")
+
+
+def pipeline_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers appended to a query log and read back from it."""
+    rows, _ = pipeline.ask(asked(spark, folder), _index(spark, folder), _alias(spark, folder), SHOWN)
+    log = pipeline.log_rows(rows)
+    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    store.append_log(log, path)
+    return store.json_lines(spark, path, log.schema).select("config", "mode", "input", F.size("retrieved").alias("hits"), "output.invalid_citations")
+
+
+def _run_of(spark: SparkSession, folder: str, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(one row per question with all its metrics, one row per claim with gold and pred) of one configuration."""
+    found, alias = _index(spark, folder), _alias(spark, folder)
+    began = time.perf_counter()
+    answers, cache = pipeline.ask(asked(spark, folder), found, alias, config)
+    log = written(pipeline.log_rows(answers), "log")
+    took = (time.perf_counter() - began) * 1000
+    rows = m.evaluated(log, table(spark, folder, "questions")).withColumn("latency_ms", F.lit(took) / log.count())
+    judged = _judged(m.logged(log), found.chunks)
+    rows = rows.join(judged, "log_id", "left").join(log.join(answers.select(F.col("text").alias("input"), "usd").distinct(), "input").groupBy("log_id").agg(F.max("usd").alias("usd")), "log_id", "left")
+    verdicts, _ = pipeline.verify(_claims(spark, folder), found, alias, config, cache)
+    claims = m.once(table(spark, folder, "claims"), "id", "claim").select(F.col("id").alias("query_id"), a.verdict(F.col("label")).alias("gold"), "perturbation")
+    claims = verdicts.select("config", "query_id", F.col("verdict").alias("pred"), "usd").join(claims, "query_id")
+    return written(rows, "run"), written(claims, "verdicts")
+
+
+def evaluation_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The main report of a run of every configuration over the query set, all its figures as text; latency is the run's
+    wall time by question, so it differs from run to run."""
+    reports = []
+    for config in CONFIGS:
+        rows, claims = _run_of(spark, folder, config)
+        means = rows.groupBy("config").agg(*[F.avg(k).alias(k) for k in (*m.KEYS, "faithfulness", "latency_ms")], F.sum("usd").alias("usd"))
+        scores = m.class_scores(claims).select(F.lit(config.name).alias("config"), "accuracy", "macro_f1").distinct()
+        means = means.join(m.abstention(rows, "config"), "config").join(scores, "config", "left")
+        names = ["hit5", "recall5", "mrr", "answer_correct", "faithfulness", "citation_precision", "abstain_precision", "abstain_recall", "false_abstention", "accuracy", "macro_f1"]
+        reports.append(means.select("config", *[a.shown(F.col(k)).alias(k) for k in names], a.shown(F.col("latency_ms"), 0).alias("latency_ms"), a.shown(F.coalesce("usd", F.lit(0.0))).alias("usd")))
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def verdicts_by_perturbation(spark: SparkSession, folder: str) -> DataFrame:
+    """A report table: accuracy of the verdicts of the filtered and of the dense configuration, by perturbation, as text."""
+    rows = [_run_of(spark, folder, c)[1] for c in (CONFIGS[0], CONFIGS[2])]
+    both = rows[0].unionByName(rows[1]).withColumn("perturbation", F.coalesce("perturbation", F.lit("none"))).withColumn("right", (F.col("gold") == F.col("pred")).cast("double"))
+    return m.pivoted(both, "config", "perturbation", ["bank", "none", "number", "unverifiable", "year"], "right")
 
 
 def judge_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +235,7 @@ def judge_sample(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(kinds, F.col("input") == F.col("question")).select("log_id", "question", "answer").orderBy(F.xxhash64(F.lit(0), "log_id"), "log_id").limit(25)
 
 
-QUERIES = {f.__name__: f for f in (retrieval_metrics, citation_precision, citation_validate, answer_correct, numbers_in_questions, keywords_match, abstention, metrics_rollup, metrics_pivot, main_table, judged_answers, claim_verdicts, confusion, class_scores, accuracy_by_perturbation, verdict_kappa, claim_retrieval, ask, verify, judge_sample)}
+QUERIES = {f.__name__: f for f in (retrieval_metrics, citation_precision, citation_validate, answer_correct, numbers_in_questions, keywords_match, abstention, metrics_rollup, metrics_pivot, main_table, judged_answers, claim_verdicts, confusion, class_scores, accuracy_by_perturbation, verdict_kappa, claim_retrieval, ask, verify, prompt_hashes, pipeline_log, evaluation_run, verdicts_by_perturbation, judged_claims, judge_sample)}
 
 _LOG = r"""
 l0 AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY arrived_at, ts) AS n FROM query_log WHERE log_id IS NOT NULL),
