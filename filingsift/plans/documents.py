@@ -292,7 +292,7 @@ SELECT doc_id, page_index, block_no, arg_max(section, n) AS section, count(h) AS
     "find_units": f"""WITH {_B} SELECT doc_id, page_index, block_no, coalesce('in ' || coalesce(nullif(lower(regexp_extract(title, '(?i)\\((?:dollars |\\$ )?in (millions|billions|thousands)[^)]*\\)', 1)), ''), nullif(lower(regexp_extract(text, '(?i)\\((?:dollars |\\$ )?in (millions|billions|thousands)[^)]*\\)', 1)), '')), '') AS units FROM b WHERE kind = 'table'""",
     "ruled_tables": f"""WITH {_B}, r AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*\\|')) AS l FROM b WHERE kind = 'table')
 SELECT doc_id, page_index, block_no, coalesce(len(l) - 1 >= 3 AND len(string_split(l[1], '|')) - 2 >= 2 AND len(regexp_extract_all(text, '<br>')) <= 5 AND NOT regexp_matches(text, '\\|Col\\d'), false) AS ruled FROM r""",
-    "chunk_pack": f"""WITH RECURSIVE c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunks WHERE kind = 'text' AND text IS NOT NULL ORDER BY chunk_id),
+    "chunk_pack": f"""WITH RECURSIVE c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunks WHERE coalesce(kind, 'text') <> 'table' AND text IS NOT NULL ORDER BY chunk_id),
 p AS (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array(text, '\\n[\\s\\x{{000b}}]*\\n'), lambda x: regexp_replace(x, '^{_USPACE}+|{_USPACE}+$', '', 'g')), lambda x: x <> '') AS paras FROM c),
 r AS (SELECT chunk_id, unnest(paras) AS para, unnest(range(1, len(paras) + 1)) AS i FROM p), w AS (SELECT chunk_id, i, {_words_of('para')} AS w FROM r),
 f AS (SELECT chunk_id, 0::BIGINT AS i, 0::BIGINT AS piece, -1::BIGINT AS last, false AS open, 0::BIGINT AS tok FROM p UNION ALL

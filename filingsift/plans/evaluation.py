@@ -12,7 +12,8 @@ from filingsift.config import Config, Retrieval
 from filingsift.functions import answers as a
 from filingsift.functions.shared import shared_dir, written
 from filingsift.operators import metrics as m
-from filingsift.operators import pipeline, retrieval, store
+from filingsift.operators import pipeline, prompting, retrieval, store
+from filingsift.plans import retrieval as rsql
 from filingsift.plans.retrieval import TOP_K, _index, asked
 from filingsift.sources.tables import table
 
@@ -53,7 +54,7 @@ def abstention(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metrics_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    return m.rolled_up(_log(spark, folder), "config", "type").select("config", "type", "n", "hit1", "hit3", "hit5", "recall5", "mrr", "citation_precision", "invalid_citations")
+    return m.rolled_up(_log(spark, folder), "config", "type").select("config", "type", "n", "hit1", "hit3", "hit5", "recall5", "mrr", "answer_correct", "citation_precision", "invalid_citations")
 
 
 def metrics_pivot(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,10 +62,11 @@ def metrics_pivot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def main_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The main report: figures by configuration, as text."""
-    rows = _log(spark, folder)
-    means = rows.groupBy("config").agg(*[F.avg(k).alias(k) for k in m.KEYS if k != "answer_correct"]).join(m.abstention(rows, "config"), "config")
-    names = ["hit5", "recall5", "mrr", "citation_precision", "abstain_precision", "abstain_recall", "false_abstention"]
+    """The main report of the log: figures by configuration, as text. What the log does not hold, verdicts, latency and
+    cost, is in ``evaluation_run``."""
+    rows = _log(spark, folder).join(judged_answers(spark, folder), "log_id", "left")
+    means = rows.groupBy("config").agg(*[F.avg(k).alias(k) for k in (*m.KEYS, "faithfulness")]).join(m.abstention(rows, "config"), "config")
+    names = ["hit5", "recall5", "mrr", "answer_correct", "faithfulness", "citation_precision", "abstain_precision", "abstain_recall", "false_abstention"]
     return means.select("config", *[a.shown(F.col(k)).alias(k) for k in names])
 
 
@@ -141,10 +143,8 @@ def claim_retrieval(spark: SparkSession, folder: str) -> DataFrame:
 
 # The configurations of the evaluation run, from plain to all there is.
 CONFIGS = [
-    Config("01_dense", retrieval=Retrieval(mode="dense", metadata_filter=False)),
-    Config("02_words", retrieval=Retrieval(mode="bm25", metadata_filter=False)),
-    Config("03_both_filtered", retrieval=Retrieval(mode="hybrid")),
-    Config("04_second_look", retrieval=Retrieval(mode="hybrid", rerank=True)),
+    Config("01_words", retrieval=Retrieval(mode="bm25", metadata_filter=False)),
+    Config("02_second_look", retrieval=Retrieval(mode="hybrid", rerank=True)),
 ]
 #: What ``ask`` and ``verify`` run under.
 SHOWN = Config("words_filtered", retrieval=Retrieval(mode="bm25"))
@@ -162,13 +162,13 @@ def _alias(spark: SparkSession, folder: str) -> DataFrame:
 def ask(spark: SparkSession, folder: str) -> DataFrame:
     """The questions of the query set through the pipeline: filter, words, prompt, answer, citations."""
     rows, _ = pipeline.ask(asked(spark, folder), _index(spark, folder), _alias(spark, folder), SHOWN)
-    return rows.select("query_id", "answer", "abstain", F.array_join("citations.chunk_id", ",").alias("cited"), F.array_join("retrieved.chunk_id", ",").alias("retrieved"), "invalid_citations", "usd")
+    return rows.select("query_id", "answer", "abstain", F.array_join("citations.chunk_id", ",").alias("cited"), F.array_join("retrieved.chunk_id", ",").alias("retrieved"), "invalid_citations", "prompt_hash", "usd")
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """The claims of the query set through the pipeline."""
     rows, _ = pipeline.verify(_claims(spark, folder), _index(spark, folder), _alias(spark, folder), SHOWN)
-    return rows.select("query_id", "verdict", "explanation", F.array_join("evidence.chunk_id", ",").alias("evidence"), F.array_join("retrieved.chunk_id", ",").alias("retrieved"), "usd")
+    return rows.select("query_id", "verdict", "explanation", F.array_join("evidence.chunk_id", ",").alias("evidence"), F.array_join("retrieved.chunk_id", ",").alias("retrieved"), "prompt_hash", "usd")
 
 
 def prompt_hashes(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,10 +198,14 @@ def _run_of(spark: SparkSession, folder: str, config: Config) -> tuple[DataFrame
     rows = m.evaluated(log, table(spark, folder, "questions")).withColumn("latency_ms", F.lit(took) / log.count())
     judged = _judged(m.logged(log), found.chunks)
     rows = rows.join(judged, "log_id", "left").join(log.join(answers.select(F.col("text").alias("input"), "usd").distinct(), "input").groupBy("log_id").agg(F.max("usd").alias("usd")), "log_id", "left")
-    verdicts, _ = pipeline.verify(_claims(spark, folder), found, alias, config, cache)
+    return written(rows, "run"), _verdicts_of(spark, folder, config, cache)
+
+
+def _verdicts_of(spark: SparkSession, folder: str, config: Config, cache: DataFrame | None = None) -> DataFrame:
+    """One row per claim of the query set with gold and pred under one configuration."""
+    verdicts, _ = pipeline.verify(_claims(spark, folder), _index(spark, folder), _alias(spark, folder), config, cache)
     claims = m.once(table(spark, folder, "claims"), "id", "claim").select(F.col("id").alias("query_id"), a.verdict(F.col("label")).alias("gold"), "perturbation")
-    claims = verdicts.select("config", "query_id", F.col("verdict").alias("pred"), "usd").join(claims, "query_id")
-    return written(rows, "run"), written(claims, "verdicts")
+    return written(verdicts.select("config", "query_id", F.col("verdict").alias("pred"), "usd").join(claims, "query_id"), "verdicts")
 
 
 def evaluation_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,8 +226,8 @@ def evaluation_run(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verdicts_by_perturbation(spark: SparkSession, folder: str) -> DataFrame:
-    """A report table: accuracy of the verdicts of the filtered and of the dense configuration, by perturbation, as text."""
-    rows = [_run_of(spark, folder, c)[1] for c in (CONFIGS[0], CONFIGS[2])]
+    """A report table: accuracy of the verdicts of each configuration of the run, by perturbation, as text."""
+    rows = [_verdicts_of(spark, folder, c) for c in CONFIGS]
     both = rows[0].unionByName(rows[1]).withColumn("perturbation", F.coalesce("perturbation", F.lit("none"))).withColumn("right", (F.col("gold") == F.col("pred")).cast("double"))
     return m.pivoted(both, "config", "perturbation", ["bank", "none", "number", "unverifiable", "year"], "right")
 
@@ -246,8 +250,8 @@ ci AS (SELECT log_id, pos, json_type(c) IN ('UBIGINT', 'BIGINT') AND TRY_CAST(c
 go AS (SELECT log_id, list(c ORDER BY pos) AS good FROM (SELECT log_id, c, min(pos) AS pos FROM ci WHERE ok GROUP BY log_id, c) GROUP BY log_id),
 ba AS (SELECT log_id, count(*) AS bad FROM ci WHERE NOT coalesce(ok, false) GROUP BY log_id),
 l AS (SELECT l3.*, coalesce(good, []) AS good, coalesce(bad, 0)::INT AS invalid_citations, CASE WHEN NOT abstain THEN json_extract_string(j, '$.answer') END AS answer FROM l3 LEFT JOIN go USING (log_id) LEFT JOIN ba USING (log_id)),
-qs AS (SELECT question, arg_min(type, id) AS type, arg_min(sources, id) AS sources FROM questions GROUP BY question),
-lq AS (SELECT l.*, type, sources FROM l JOIN qs ON l.input = qs.question),
+qs AS (SELECT question, arg_min(type, id) AS type, arg_min(sources, id) AS sources, arg_min(expected, id) AS expected FROM questions GROUP BY question),
+lq AS (SELECT l.*, type, sources, expected FROM l JOIN qs ON l.input = qs.question),
 tr AS (SELECT DISTINCT log_id, doc_id, unnest(pages) AS page FROM (SELECT log_id, s.doc_id AS doc_id, s.pages AS pages FROM (SELECT log_id, unnest(sources) AS s FROM lq WHERE type <> 'unanswerable'))),
 rk AS (SELECT log_id, rank, regexp_extract(c, '^(.*):p\d+:c\d+$', 1) AS doc_id, TRY_CAST(regexp_extract(c, ':p(\d+):c\d+$', 1) AS INT) AS page FROM (SELECT log_id, h.chunk_id AS c, rank FROM (SELECT log_id, unnest(retrieved) AS h, generate_subscripts(retrieved, 1) AS rank FROM lq))),
 fi AS (SELECT rk.log_id, min(rank) AS first FROM rk JOIN tr ON rk.log_id = tr.log_id AND rk.doc_id = tr.doc_id AND abs(rk.page - tr.page) <= 1 GROUP BY rk.log_id),
@@ -255,7 +259,49 @@ co AS (SELECT log_id, count(*) AS covered FROM tr WHERE EXISTS (SELECT 1 FROM rk
 rm AS (SELECT log_id, coalesce((first <= 1)::INT::DOUBLE, 0) AS hit1, coalesce((first <= 3)::INT::DOUBLE, 0) AS hit3, coalesce((first <= 5)::INT::DOUBLE, 0) AS hit5, round(coalesce(covered, 0) / pages, 6) AS recall5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM (SELECT log_id, count(*)::DOUBLE AS pages FROM tr GROUP BY log_id) LEFT JOIN fi USING (log_id) LEFT JOIN co USING (log_id)),
 cp0 AS (SELECT g.log_id, EXISTS (SELECT 1 FROM tr WHERE tr.log_id = g.log_id AND tr.doc_id = rk.doc_id AND abs(rk.page - tr.page) <= 1) AS hit FROM (SELECT log_id, unnest(good) AS rank FROM lq WHERE NOT abstain) g JOIN rk ON rk.log_id = g.log_id AND rk.rank = g.rank WHERE g.log_id IN (SELECT log_id FROM tr)),
 cp AS (SELECT log_id, round(avg(hit::INT), 6) AS citation_precision FROM cp0 GROUP BY log_id),
-ev AS (SELECT lq.log_id, config, mode, type, abstain, invalid_citations, hit1, hit3, hit5, recall5, mrr, citation_precision FROM lq LEFT JOIN rm USING (log_id) LEFT JOIN cp USING (log_id))"""
+ev AS (SELECT lq.log_id, config, mode, type, abstain, invalid_citations, hit1, hit3, hit5, recall5, mrr, citation_precision FROM lq LEFT JOIN rm USING (log_id) LEFT JOIN cp USING (log_id)),
+hn AS (SELECT log_id, number, coalesce(bool_or(contains(text, number)), false) AS supported FROM (SELECT log_id, unnest(list_distinct(regexp_extract_all(answer, '\d[\d,.]*\d|\d'))) AS number FROM l WHERE answer IS NOT NULL) n
+  LEFT JOIN (SELECT g.log_id, text FROM (SELECT log_id, retrieved[c].chunk_id AS chunk_id FROM (SELECT log_id, retrieved, unnest(good) AS c FROM l WHERE answer IS NOT NULL)) g JOIN chunks USING (chunk_id) WHERE text IS NOT NULL) t USING (log_id) GROUP BY log_id, number),
+fa AS (SELECT log_id, round(avg(supported::INT), 6) AS faithfulness FROM hn GROUP BY log_id)"""
+
+
+def _numbers(text: str) -> str:
+    """The numbers of a text as a list of structs (v, s, d): value, suffix and decimals. RE2 has no look-around, so every
+    separator is doubled and each number takes the ones beside it."""
+    doubled = f"' ' || regexp_replace({text}, '([^A-Za-z0-9_.,])', '\\1\\1', 'g') || ' '"
+    pattern = "(?i)[^A-Za-z0-9_.](\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)\\s*(trillion|billion|million|thousand|bn|mm|%|percent|b|m|k)?(?:[^A-Za-z0-9]|$)".replace("\\\\", "\\")
+    raw, suffix = (f"regexp_extract_all({doubled}, '{pattern}', {k})" for k in (1, 2))
+    one = "lambda r, i: {'v': replace(r, ',', '')::DOUBLE, 's': CASE WHEN lower(sx[i]) = 'percent' THEN '%' ELSE coalesce(lower(sx[i]), '') END, 'd': length(regexp_extract(r, '\\.(\\d+)$', 1))}".replace("\\\\", "\\")
+    return f"list_transform({raw}, {one.replace('sx[i]', f'({suffix})[i]')})"
+
+
+_SCALES = "MAP {" + ", ".join(f"'{k}': {v!r}::DOUBLE" for k, v in a.SCALES.items()) + "}"
+_UNIT = """CASE WHEN contains(u, '%') OR regexp_matches(u, '(^|[^a-z])(percent|pct)($|[^a-z])') THEN 'percent' WHEN regexp_matches(u, '(^|[^a-z])(bps?|basis[ _]?points?)($|[^a-z])') THEN 'bps' WHEN regexp_matches(u, '(^|[^a-z])fractions?($|[^a-z])') THEN 'fraction'
+WHEN regexp_matches(u, '(^|[^a-z])(billions?|bn|b)($|[^a-z])') THEN 'b' WHEN regexp_matches(u, '(^|[^a-z])(millions?|mm|mn|m)($|[^a-z])') THEN 'm' WHEN regexp_matches(u, '(^|[^a-z])(thousands?|k)($|[^a-z])|(^|[^0-9])000s') THEN 'k' ELSE 'usd' END"""
+# Correctness of every logged answer: the number in its unit, or the keywords.
+_CORRECT = f"""aq AS (SELECT log_id, type, abstain, answer, expected.value AS value, expected.keywords AS kw, {_UNIT} AS unit, list_distinct(regexp_extract_all(lower(answer), 'trillion|billion|million|thousand')) AS said FROM (SELECT *, lower(coalesce(expected.unit, '')) AS u FROM lq)),
+ar AS (SELECT *, CASE unit WHEN 'fraction' THEN value * 100 WHEN 'bps' THEN value / 100 ELSE value END AS want, CASE unit WHEN 'usd' THEN 1 WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 END::DOUBLE AS factor, CASE WHEN len(said) = 1 THEN {_SCALES}[said[1]] END AS ambient, {_numbers('answer')} AS ns FROM aq),
+an AS (SELECT log_id, want, factor, n.v AS v, n.s AS s, power(10.0::DOUBLE, -n.d) AS step, unnest(CASE WHEN factor IS NULL THEN [1.0::DOUBLE] WHEN coalesce({_SCALES}[n.s], ambient) IS NOT NULL THEN [coalesce({_SCALES}[n.s], ambient)] ELSE [1.0::DOUBLE, 1e3::DOUBLE, 1e6::DOUBLE, 1e9::DOUBLE] END) AS x FROM (SELECT *, unnest(ns) AS n FROM ar)),
+am AS (SELECT DISTINCT log_id FROM an WHERE (s = '%') = (factor IS NULL) AND (abs(v * x - want * coalesce(factor, 1)) <= 0.01::DOUBLE * abs(want * coalesce(factor, 1)) OR abs(v * x - want * coalesce(factor, 1)) <= 0.5::DOUBLE * step * x + 1e-9::DOUBLE * abs(want * coalesce(factor, 1)))),
+ac AS (SELECT log_id, type, CASE WHEN type = 'unanswerable' THEN abstain WHEN abstain THEN false WHEN type = 'numeric' AND value IS NOT NULL THEN coalesce(answer, '') <> '' AND log_id IN (SELECT log_id FROM am) WHEN len(kw) > 0 THEN coalesce(answer <> '' AND len(list_filter(kw, lambda k: NOT contains(lower(answer), lower(k)))) = 0, false) END::INT::DOUBLE AS answer_correct FROM ar)"""
+# The hits of the pipeline, from the filtered words.
+_PIPE = """{queries}, {detect}, {resolve}, {index},
+rf AS (SELECT *, dense_rank() OVER (ORDER BY array_to_string(tickers, ',') || '/' || array_to_string(years, ',')) AS filter_id FROM res),
+qf AS (SELECT q.query_id, text, filter_id FROM q JOIN rf USING (query_id)),
+cm AS (SELECT DISTINCT chunk_id, upper(trim(ticker)) AS ticker, fiscal_year FROM chunks WHERE chunk_id IS NOT NULL),
+mem AS (SELECT DISTINCT filter_id, chunk_id FROM (SELECT DISTINCT filter_id, tickers, years FROM rf) f JOIN cm ON (len(tickers) = 0 OR list_contains(tickers, cm.ticker)) AND (len(years) = 0 OR list_contains(years, cm.fiscal_year))),
+i AS (SELECT i0.*, filter_id FROM i0 JOIN mem USING (chunk_id)), {bm25},
+cu AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL ORDER BY chunk_id),
+ex AS (SELECT h.query_id, h.chunk_id, h.rank, cu.text AS body, '[' || h.rank || '] ' || coalesce(bank, '') || ' | FY' || coalesce(fiscal_year::VARCHAR, '') || ' | ' || coalesce(nullif(section, ''), 'n/a') || ' | p. ' || coalesce(page_label, '') || chr(10) || coalesce(cu.text, '') AS e FROM hits h JOIN cu USING (chunk_id)),
+pr AS (SELECT q.query_id, q.text, string_agg(e, chr(10) || chr(10) ORDER BY rank) AS excerpts, coalesce(string_agg(chunk_id, ',' ORDER BY rank), '') AS retrieved, count(e) AS n FROM q LEFT JOIN ex USING (query_id) GROUP BY q.query_id, q.text),
+ph AS (SELECT *, substr(sha256('{system}' || chr(0) || 'EXCERPTS:' || chr(10) || coalesce(excerpts, '') || chr(10) || chr(10) || '{kind}: ' || coalesce(text, '')), 1, 16) AS prompt_hash FROM pr)"""
+_CLAIMED = "q AS (SELECT id AS query_id, min(claim) AS text FROM claims WHERE try_cast(substr(id, 2) AS INT) % 50 = 0 GROUP BY id)"
+
+
+def _piped(kind: str, queries: str, system: str) -> str:
+    return _PIPE.format(queries=queries, detect=rsql._DETECT, resolve=rsql._RESOLVE, index=rsql._INDEX, bm25=rsql._BM25.format(k=TOP_K), kind=kind, system=system.replace("'", "''"))
+
+
 _CLAIMS = r"""
 cl AS (SELECT id, arg_min(claim, claim) AS claim, arg_min(label, claim) AS label, arg_min(perturbation, claim) AS p0, arg_min(sources, claim) AS sources FROM claims GROUP BY id),
 pe AS (SELECT DISTINCT ON (id) id, perturbation FROM claims ORDER BY id, claim),
@@ -265,16 +311,31 @@ he AS (SELECT DISTINCT pg.id FROM pg JOIN chunks c ON c.doc_id = pg.doc_id AND a
 vd AS (SELECT cl.id, CASE WHEN upper(label) IN ('SUPPORTED', 'REFUTED', 'NOT_ENOUGH_INFO') THEN upper(label) ELSE 'NOT_ENOUGH_INFO' END AS gold, CASE WHEN cl.id IN (SELECT id FROM he) THEN 'SUPPORTED' ELSE 'NOT_ENOUGH_INFO' END AS pred, pe.perturbation FROM cl JOIN pe USING (id)),
 lb AS (SELECT unnest(['SUPPORTED', 'REFUTED', 'NOT_ENOUGH_INFO']) AS label),
 cf AS (SELECT a.label AS gold, b.label AS pred, (SELECT count(*) FROM vd WHERE vd.gold = a.label AND vd.pred = b.label) AS n FROM lb a CROSS JOIN lb b)"""
-_AVG = ", ".join(f"round(avg({k}), 6) AS {k}" for k in ("hit1", "hit3", "hit5", "recall5", "mrr", "citation_precision", "invalid_citations"))
+_AVG = ", ".join(f"round(avg({k}), 6) AS {k}" for k in ("hit1", "hit3", "hit5", "recall5", "mrr", "answer_correct", "citation_precision", "invalid_citations"))
 SQL = {
     "retrieval_metrics": f"WITH {_LOG} SELECT log_id, hit1, hit3, hit5, recall5, mrr FROM ev WHERE hit1 IS NOT NULL",
     "citation_precision": f"WITH {_LOG} SELECT log_id, citation_precision FROM cp",
     "citation_validate": f"WITH {_LOG} SELECT log_id, array_to_string(good, ',') AS good, invalid_citations AS bad, abstain, answer FROM l",
     "keywords_match": "SELECT id, coalesce(len(k) > 0 AND q <> '' AND len(list_filter(k, lambda x: NOT contains(lower(q), lower(x)))) = 0, false) AS in_question, coalesce(len(k) > 0, false) AS in_answer FROM (SELECT id, arg_min(question, question) AS q, arg_min(expected, question).keywords AS k FROM questions GROUP BY id)",
     "abstention": f"WITH {_LOG} SELECT config, round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(abstain), 0)::DOUBLE, 6) AS abstain_precision, round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(type = 'unanswerable'), 0)::DOUBLE, 6) AS abstain_recall, round(count_if(type <> 'unanswerable' AND abstain) / nullif(count_if(type <> 'unanswerable'), 0)::DOUBLE, 6) AS false_abstention FROM ev GROUP BY config",
-    "metrics_rollup": f"WITH {_LOG} SELECT coalesce(config, '_overall') AS config, coalesce(type, '_overall') AS type, count(*) AS n, {_AVG} FROM (SELECT * REPLACE (coalesce(config, 'none') AS config, coalesce(type, 'none') AS type) FROM ev) GROUP BY ROLLUP (config, type)",
+    "metrics_rollup": f"WITH {_LOG}, {_CORRECT} SELECT coalesce(config, '_overall') AS config, coalesce(type, '_overall') AS type, count(*) AS n, {_AVG} FROM (SELECT * REPLACE (coalesce(config, 'none') AS config, coalesce(ev.type, 'none') AS type) FROM (SELECT ev.*, ac.answer_correct FROM ev JOIN ac USING (log_id)) ev) GROUP BY ROLLUP (config, type)",
     "metrics_pivot": f"WITH {_LOG} SELECT config, " + ", ".join(f"coalesce(printf('%.3f', avg(mrr) FILTER (type = '{t}')), '–') AS {t}" for t in ("comparison", "factual", "numeric")) + " FROM ev GROUP BY config",
-    "main_table": f"WITH {_LOG} SELECT config, " + ", ".join(f"coalesce(printf('%.3f', avg({k})), '–') AS {k}" for k in ("hit5", "recall5", "mrr", "citation_precision")) + ", coalesce(printf('%.3f', round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(abstain), 0)::DOUBLE, 6)), '–') AS abstain_precision, coalesce(printf('%.3f', round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(type = 'unanswerable'), 0)::DOUBLE, 6)), '–') AS abstain_recall, coalesce(printf('%.3f', round(count_if(type <> 'unanswerable' AND abstain) / nullif(count_if(type <> 'unanswerable'), 0)::DOUBLE, 6)), '–') AS false_abstention FROM ev GROUP BY config",
+    "main_table": f"WITH {_LOG}, {_CORRECT} SELECT config, " + ", ".join(f"coalesce(printf('%.3f', avg({k})), '–') AS {k}" for k in ("hit5", "recall5", "mrr", "answer_correct", "faithfulness", "citation_precision")) + ", coalesce(printf('%.3f', round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(abstain), 0)::DOUBLE, 6)), '–') AS abstain_precision, coalesce(printf('%.3f', round(count_if(type = 'unanswerable' AND abstain) / nullif(count_if(type = 'unanswerable'), 0)::DOUBLE, 6)), '–') AS abstain_recall, coalesce(printf('%.3f', round(count_if(type <> 'unanswerable' AND abstain) / nullif(count_if(type <> 'unanswerable'), 0)::DOUBLE, 6)), '–') AS false_abstention FROM (SELECT ev.*, ac.answer_correct, faithfulness FROM ev JOIN ac USING (log_id) LEFT JOIN fa USING (log_id)) GROUP BY config",
+    "answer_correct": f"WITH {_LOG}, {_CORRECT} SELECT log_id, type, answer_correct FROM ac",
+    "numbers_in_questions": f"""WITH q AS (SELECT id, arg_min(expected, question).answer AS t FROM questions WHERE id IS NOT NULL GROUP BY id), n AS (SELECT id, {_numbers('t')} AS ns FROM q WHERE t IS NOT NULL)
+SELECT id, (pos - 1)::INT AS "at", n.v AS value, n.s AS suffix, n.d::INT AS decimals FROM (SELECT id, unnest(ns) AS n, generate_subscripts(ns, 1) AS pos FROM n)""",
+    "judged_claims": f"WITH {_LOG} SELECT log_id, number, supported FROM hn",
+    "ask": f"""WITH {_piped('QUESTION', rsql._ASKED, prompting.ASK)}, an0 AS (SELECT ph.*, n = 0 OR len(list_filter(regexp_extract_all(coalesce(ph.text, ''), '\\b(20\\d\\d)\\b', 1), lambda y: y::INT >= 2026)) > 0 OR coalesce(regexp_matches(lower(ph.text), '\\bwill\\b'), false) AS ab, nullif(substr(split_part(regexp_replace(coalesce(ex.body, ''), '^[\\s\\x{{000b}}]+', ''), chr(10), 1), 1, 200), '') AS first, ex.chunk_id AS best FROM ph LEFT JOIN ex ON ex.query_id = ph.query_id AND ex.rank = 1)
+SELECT query_id, CASE WHEN NOT ab THEN first END AS answer, ab OR first IS NULL AS abstain, CASE WHEN NOT ab AND first IS NOT NULL THEN best ELSE '' END AS cited, retrieved, 0 AS invalid_citations, prompt_hash, 0.0::DOUBLE AS usd FROM an0""",
+    "verify": f"""WITH {_piped('CLAIM', _CLAIMED, prompting.VERIFY)}, nu AS (SELECT query_id, list_transform(regexp_extract_all(coalesce(text, ''), '\\d[\\d,.]*'), lambda x: rtrim(x, '.,')) AS numbers FROM q),
+ho AS (SELECT query_id, min(rank) AS holder FROM ex JOIN nu USING (query_id) WHERE len(numbers) > 0 AND len(list_filter(numbers, lambda x: NOT contains(e, x))) = 0 GROUP BY query_id)
+SELECT ph.query_id, CASE WHEN holder IS NULL THEN 'NOT_ENOUGH_INFO' ELSE 'SUPPORTED' END AS verdict, CASE WHEN holder IS NULL THEN 'not found' ELSE 'numbers found' END AS explanation, coalesce(ex.chunk_id, '') AS evidence, retrieved, prompt_hash, 0.0::DOUBLE AS usd FROM ph LEFT JOIN ho USING (query_id) LEFT JOIN ex ON ex.query_id = ph.query_id AND ex.rank = ho.holder""",
+    "claim_retrieval": f"""WITH {_CLAIMED}, qf AS (SELECT *, 0 AS filter_id FROM q), {rsql._INDEX}, i AS (SELECT *, 0 AS filter_id FROM i0), {rsql._BM25.format(k=TOP_K)},
+tr AS (SELECT DISTINCT query_id, doc_id, unnest(pages) AS page FROM (SELECT id AS query_id, s.doc_id AS doc_id, s.pages AS pages FROM (SELECT id, unnest(arg_min(sources, claim)) AS s FROM claims WHERE id IN (SELECT query_id FROM q) GROUP BY id))),
+rk AS (SELECT query_id, rank, regexp_extract(chunk_id, '^(.*):p\\d+:c\\d+$', 1) AS doc_id, regexp_extract(chunk_id, ':p(\\d+):c\\d+$', 1)::INT AS page FROM hits),
+fi AS (SELECT rk.query_id, min(rank) AS first FROM rk JOIN tr ON rk.query_id = tr.query_id AND rk.doc_id = tr.doc_id AND abs(rk.page - tr.page) <= 1 GROUP BY rk.query_id),
+co AS (SELECT query_id, count(*) AS covered FROM tr WHERE EXISTS (SELECT 1 FROM rk WHERE rank <= 5 AND rk.query_id = tr.query_id AND rk.doc_id = tr.doc_id AND abs(rk.page - tr.page) <= 1) GROUP BY query_id)
+SELECT query_id, coalesce((first <= 1)::INT::DOUBLE, 0) AS hit1, coalesce((first <= 3)::INT::DOUBLE, 0) AS hit3, coalesce((first <= 5)::INT::DOUBLE, 0) AS hit5, round(coalesce(covered, 0) / pages, 6) AS recall5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM (SELECT query_id, count(*)::DOUBLE AS pages FROM tr GROUP BY query_id) LEFT JOIN fi USING (query_id) LEFT JOIN co USING (query_id)""",
     "judged_answers": rf"""WITH {_LOG}, ct AS (SELECT l.log_id, list_distinct(regexp_extract_all(answer, '\d[\d,.]*\d|\d')) AS ns, retrieved[g].chunk_id AS chunk_id FROM (SELECT log_id, answer, retrieved, unnest(good) AS g FROM l WHERE answer IS NOT NULL) l),
 tx AS (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id),
 hn AS (SELECT log_id, n, bool_or(contains(text, n)) AS ok FROM (SELECT log_id, text, unnest(ns) AS n FROM ct JOIN tx USING (chunk_id)) GROUP BY log_id, n)

@@ -46,6 +46,14 @@ def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
     return store.misses(rows.where("fiscal_year >= 2020"), rows.where("fiscal_year < 2020").select("key").distinct()).select("key")
 
 
+def cache_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits and misses of a cache filled by the chunks of each year, when those of the next recorded year ask: null years last."""
+    rows = _requests(spark, folder).select("key", F.coalesce("fiscal_year", F.lit(9999)).alias("year"))
+    first = rows.groupBy("key").agg(F.min("year").alias("first"))
+    asked = rows.join(first, "key")
+    return asked.groupBy("year").agg(F.count_if(F.col("first") < F.col("year")).alias("hits"), F.countDistinct(F.when(F.col("first") == F.col("year"), F.col("key"))).alias("misses"))
+
+
 def cache_upsert(spark: SparkSession, folder: str) -> DataFrame:
     rows = _requests(spark, folder).where("fiscal_year is not null").select("key", "fiscal_year")
     old, new = rows.where("fiscal_year < 2020"), rows.where("fiscal_year >= 2015")
@@ -101,11 +109,15 @@ def stream_hourly_cost(spark: SparkSession, folder: str) -> DataFrame:
     return logs.hourly_cost(spark, folder)
 
 
+def stream_cost_by_hour(spark: SparkSession, folder: str) -> DataFrame:
+    return logs.cost_by_hour(spark, folder)
+
+
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return logs.ingested(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (cost_totals, cost_recomputed, cost_running_total, budget_cut, cache_misses, cache_upsert, embed_dedupe, latest_filing, manifest, carry_over, log_round_trip, idempotent_build, stream_hourly_cost, stream_ingest)}
+QUERIES = {f.__name__: f for f in (cost_totals, cost_recomputed, cost_running_total, budget_cut, cache_misses, cache_counts, cache_upsert, embed_dedupe, latest_filing, manifest, carry_over, log_round_trip, idempotent_build, stream_hourly_cost, stream_cost_by_hour, stream_ingest)}
 
 _C = "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY arrived_at, ts) AS rn FROM cost_log WHERE log_id IS NOT NULL) WHERE rn = 1)"
 _R = "r AS (SELECT chunk_id, fiscal_year, text, sha256('emb:hash' || chr(0) || text) AS key FROM chunks WHERE text IS NOT NULL)"
@@ -115,6 +127,7 @@ SQL = {
     "cost_running_total": f"WITH {_C} SELECT log_id, round(sum(coalesce(usd, 0)::DECIMAL(20,10)) OVER (ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS running FROM c",
     "budget_cut": f"WITH {_C} SELECT log_id FROM (SELECT log_id, sum(coalesce(usd, 0)::DECIMAL(20,10)) OVER (ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) - coalesce(usd, 0)::DECIMAL(20,10) AS before FROM c) WHERE before <= 0.05",
     "cache_misses": f"WITH {_R} SELECT DISTINCT key FROM r WHERE fiscal_year >= 2020 AND key NOT IN (SELECT key FROM r WHERE fiscal_year < 2020)",
+    "cache_counts": f"WITH {_R}, y AS (SELECT key, coalesce(fiscal_year, 9999) AS year FROM r), f AS (SELECT key, min(year) AS first FROM y GROUP BY key) SELECT year, count_if(first < year) AS hits, count(DISTINCT CASE WHEN first = year THEN key END) AS misses FROM y JOIN f USING (key) GROUP BY year",
     "cache_upsert": f"WITH {_R} SELECT key, max(fiscal_year) AS fiscal_year FROM r WHERE fiscal_year IS NOT NULL GROUP BY key",
     "embed_dedupe": f"WITH {_R}, d AS (SELECT DISTINCT chunk_id, text, key FROM r), w AS (SELECT key, bucket FROM (SELECT key, ('0x' || substr(md5(w), 31, 2))::INT AS bucket, CASE WHEN ('0x' || substr(md5(w), 16, 1))::INT % 2 = 1 THEN 1 ELSE -1 END AS s FROM (SELECT key, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM (SELECT DISTINCT key, text FROM d))) GROUP BY key, bucket HAVING sum(s) <> 0), n AS (SELECT key, count(*) AS n FROM w GROUP BY key) SELECT chunk_id, d.key, coalesce(n, 0)::INT AS buckets FROM d LEFT JOIN n ON d.key = n.key",
     "latest_filing": "SELECT ticker, fiscal_year, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC, doc_id) AS r FROM filings WHERE ticker IS NOT NULL AND fiscal_year IS NOT NULL) WHERE r = 1",
@@ -123,5 +136,6 @@ SQL = {
     "log_round_trip": "SELECT DISTINCT log_id, config, mode, coalesce(len(retrieved), 0)::INT AS hits, prompt_hash FROM query_log",
     "idempotent_build": "SELECT ticker, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY ticker",
     "stream_ingest": "SELECT DISTINCT sha256('hash' || chr(0) || text) AS key, length(text)::INT AS chars FROM chunks WHERE text IS NOT NULL",
+    "stream_cost_by_hour": f"WITH {_C} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, kind, count(*) AS calls, round(sum(coalesce(usd, 0)), 6) AS usd FROM c GROUP BY 1, 2",
     "stream_hourly_cost": f"WITH {_C} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, kind, count(*) AS calls, round(sum(coalesce(usd, 0)), 6) AS usd FROM c WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM cost_log WHERE log_id IS NOT NULL) - INTERVAL 2 HOUR GROUP BY 1, 2",
 }

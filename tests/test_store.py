@@ -49,3 +49,17 @@ def test_offline_completer(spark):
     df = spark.createDataFrame([("It was 5,000 in 2024.", ["none", "2024: 5,000"]), ("It grew.", ["2024"]), ("It was 7.", [])], "t string, e array<string>")
     v, at = prompting.offline_verdict(F.col("t"), F.col("e"))
     assert [tuple(r) for r in df.select(v, at).collect()] == [("SUPPORTED", 2), ("NOT_ENOUGH_INFO", 0), ("NOT_ENOUGH_INFO", 0)]
+
+
+def test_late_calls_of_many_files_are_counted_once(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from filingsift.streaming import logs
+
+    monkeypatch.setattr(logs, "FILES", 1)
+
+    at = lambda day, hour: datetime.datetime(2026, 1, day, hour, 30)
+    files = [[(1, at(1, 5), at(1, 6), "ask", 1.0), (2, at(1, 5), at(1, 6), "ask", None)], [(3, at(4, 7), at(4, 8), "ask", 2.0), (1, at(1, 5), at(4, 9), "ask", 9.0)], [(4, at(1, 5), at(5, 1), "ask", 4.0), (None, at(1, 5), at(5, 1), "ask", 4.0)]]
+    for k, rows in enumerate(files):  # each file is a batch of its own; calls of the first day arrive on the fifth
+        spark.createDataFrame(rows, "log_id long, ts timestamp, arrived_at timestamp, kind string, usd double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/cost_log.parquet")
+    assert {tuple(r) for r in logs.cost_by_hour(spark, str(tmp_path)).collect()} == {("2026-01-01 05", "ask", 3, 5.0), ("2026-01-04 07", "ask", 1, 2.0)}
