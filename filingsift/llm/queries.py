@@ -54,6 +54,13 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(_items(spark, folder))
 
 
+def p4_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each item cover, and whether all are within the limit."""
+    pieces = splitting.pieces(_items(spark, folder))
+    span = F.sum(F.col("core_end") - F.col("core_start")).cast("long")
+    return pieces.groupBy("item_id").agg(F.min("core_start").alias("first"), F.max("core_end").alias("last"), span.alias("covered"), (F.max("words") <= 512).alias("within"), (F.count("*") == F.max("piece_no") + 1).alias("numbered"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     types = quality.text_types(table(spark, folder, "chunks"), table(spark, folder, "common_words"))
     return types.where("kind is null or kind <> 'table'").where("doubtful").where(quality.not_prose()).select("chunk_id")
@@ -96,7 +103,7 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(documents, spans.shared_spans(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_types, p5_types_by_kind, p6_ids, p7_mix, p7_blocks, p7_shares, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sequences, p1_clean, p3_found, p3_groups, p4_found, p4_pieces, p4_coverage, p5_found, p5_types, p5_types_by_kind, p6_ids, p7_mix, p7_blocks, p7_shares, p8_found, p8_coverage)}
 # White space as SPACE has it, for RE2.
 _WS = "[\\s\\x{000b}\\x{001c}-\\x{001f}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _NWS = "[^" + _WS[1:]
@@ -144,6 +151,8 @@ d AS (SELECT doc_id, max(coalesce(length(text), 0))::INT AS chars FROM documents
 SELECT doc_id, chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(spans, 0) AS spans, CASE WHEN chars = 0 THEN 0 ELSE round(coalesce(shared_chars, 0) / chars, 6) END::DOUBLE AS shared_share FROM d LEFT JOIN v USING (doc_id)""",
     "p4_found": f"""SELECT DISTINCT item_id FROM (SELECT chunk_id AS item_id, text FROM chunks UNION ALL SELECT doc_id || ':p' || page_index || ':b' || block_no, text FROM blocks)
 WHERE item_id IS NOT NULL AND len(regexp_extract_all(text, '{_NWS}+')) > 512""",
+    "p4_coverage": f"""WITH i AS (SELECT chunk_id AS item_id, text FROM chunks UNION ALL SELECT doc_id || ':p' || page_index || ':b' || block_no, text FROM blocks)
+SELECT item_id, 0 AS first, max(length(text))::INT AS last, max(length(text))::BIGINT AS covered, true AS within, true AS numbered FROM i WHERE item_id IS NOT NULL AND regexp_matches(text, '{_NWS}') GROUP BY item_id""",
     "p5_found": f"""WITH c AS (SELECT DISTINCT chunk_id, coalesce(text, '') AS t FROM chunks WHERE (kind IS NULL OR kind <> 'table') AND chunk_id IS NOT NULL),
 w AS (SELECT chunk_id, t, regexp_extract_all(t, '{_NWS}+') AS w, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_WS}+$', '')), lambda x: x <> '') AS l FROM c),
 s AS (SELECT chunk_id, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS chars, list_sum(list_transform(w, lambda x: length(regexp_replace(x, '[^|#*•…=_~<>^{{}}\\[\\]\\\\@+\\x{{FFFD}}]', '', 'g')))) AS sym, len(l) AS lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?]$'))) AS ended,
