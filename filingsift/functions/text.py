@@ -19,14 +19,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """Every white space character as a plain space: patterns on the result need no class of them, which is several times
+    faster than one with it."""
+    return F.translate(text, SPACES, " " * len(SPACES))
+
+
 def squeezed(text: Column) -> Column:
     """White-space runs become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(spaced(text), " +", " "))
 
 
 def words(text: Column) -> Column:
     """The maximal runs of characters that are not white space; null for null, empty for blank texts."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(spaced(text), " +"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:

@@ -327,6 +327,7 @@ SELECT id, (pos - 1)::INT AS "at", n.v AS value, n.s AS suffix, n.d::INT AS deci
     "judged_claims": f"WITH {_LOG} SELECT log_id, number, supported FROM hn",
     "ask": f"""WITH {_piped('QUESTION', rsql._ASKED, prompting.ASK)}, an0 AS (SELECT ph.*, n = 0 OR len(list_filter(regexp_extract_all(coalesce(ph.text, ''), '\\b(20\\d\\d)\\b', 1), lambda y: y::INT >= 2026)) > 0 OR coalesce(regexp_matches(lower(ph.text), '\\bwill\\b'), false) AS ab, nullif(substr(split_part(regexp_replace(coalesce(ex.body, ''), '^[\\s\\x{{000b}}]+', ''), chr(10), 1), 1, 200), '') AS first, ex.chunk_id AS best FROM ph LEFT JOIN ex ON ex.query_id = ph.query_id AND ex.rank = 1)
 SELECT query_id, CASE WHEN NOT ab THEN first END AS answer, ab OR first IS NULL AS abstain, CASE WHEN NOT ab AND first IS NOT NULL THEN best ELSE '' END AS cited, retrieved, 0 AS invalid_citations, prompt_hash, 0.0::DOUBLE AS usd FROM an0""",
+    "pipeline_log": f"WITH {_piped('QUESTION', rsql._ASKED, prompting.ASK)} SELECT '{SHOWN.name}' AS config, 'ask' AS mode, text AS input, n::INT AS hits, 0 AS invalid_citations FROM ph",
     "verify": f"""WITH {_piped('CLAIM', _CLAIMED, prompting.VERIFY)}, nu AS (SELECT query_id, list_transform(regexp_extract_all(coalesce(text, ''), '\\d[\\d,.]*'), lambda x: rtrim(x, '.,')) AS numbers FROM q),
 ho AS (SELECT query_id, min(rank) AS holder FROM ex JOIN nu USING (query_id) WHERE len(numbers) > 0 AND len(list_filter(numbers, lambda x: NOT contains(e, x))) = 0 GROUP BY query_id)
 SELECT ph.query_id, CASE WHEN holder IS NULL THEN 'NOT_ENOUGH_INFO' ELSE 'SUPPORTED' END AS verdict, CASE WHEN holder IS NULL THEN 'not found' ELSE 'numbers found' END AS explanation, coalesce(ex.chunk_id, '') AS evidence, retrieved, prompt_hash, 0.0::DOUBLE AS usd FROM ph LEFT JOIN ho USING (query_id) LEFT JOIN ex ON ex.query_id = ph.query_id AND ex.rank = ho.holder""",
