@@ -11,9 +11,9 @@ if |A and B| / |A or B| >= threshold. Method: set-relation skipping over an inve
 * The lists are made by one exchange. Every task sorts its entries (key, set, position, size) and sends each range of keys
   as one packed block of some 7 bytes an entry; a task that gets a range merges the blocks into its lists. Nothing is
   broadcast and no sketch can fill up, so an entry costs the same at any size of the collection.
-* Index-level skipping: a list is sorted by position, and an entry is compared with the stretch of the list only in which an
-  alike set's entry can stand (its position is at most ``size * (1 - t) / t`` later); what lies behind is skipped unseen. Size
-  and exact position decide about the rest.
+* Index-level skipping: a list is cut into blocks of like sizes, each in the order of positions. An entry is compared with
+  the blocks of sizes that an alike set may have, and in each with the stretch of positions only that leaves room for the
+  needed overlap; blocks and stretches beyond are skipped unseen. Exact size and position decide about the rest.
 * Answer-level skipping: equal sets are one class and only its representative is indexed. Representatives with the same
   rarest shingles follow a leader; once the overlap of two leaders is computed, it bounds the overlaps of their followers
   by the few shingles in which these differ, and only pairs that the bounds leave open are compared in full.
@@ -43,6 +43,8 @@ ORDER_BITS = 20
 KEY_BITS, PACKED = 40, 2_000_000
 #: A list expected to be longer than this, and than so many times the mean bucket of the ordering sketch, is salted.
 LONG_LIST, LONG_SHARE, MOST_SLOTS = 50_000, 64, 32
+#: Sizes of one block of a list differ by less than this factor.
+BAND = 1.1
 #: Pairs of entries that a task looks at in one go.
 AT_ONCE = 4_000_000
 #: Keys that alike sets must have in common, at most (fewer for sets below 16 shingles).
@@ -190,36 +192,52 @@ def unpacked(datas: list[bytes]) -> tuple[np.ndarray, ...]:
     return key, cid.view(np.int64), (at >> np.uint64(1)).astype(np.int64), size.astype(np.int64), (at & np.uint64(1)) == 1
 
 
+def stretches(key: np.ndarray, at: np.ndarray, size: np.ndarray, band: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For entries in the order of key, band and position: per block of sizes, where the stretch of entries to compare each
+    with begins and how many they are. A pair of one block is met once, from the entry that comes first."""
+    share = threshold / (1 + threshold)  # of both sizes, the needed overlap
+    lists = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    steps = int(np.ceil(np.log(1 / threshold) / np.log(BAND)))
+    reach = int(size.max() * BAND / threshold) + 2  # no distance of positions is larger
+    span, bands = int(at.max()) + 2 * reach + 1, int(band.max()) + steps + 1
+    place = (lists * bands + band) * span + reach + at
+    for step in range(steps + 1):
+        low, high = BAND ** (band + step), BAND ** (band + step + 1.0)
+        if step:
+            later, earlier = high - share * (size + high), size - share * (size + low)
+            home = place + step * span
+            begin = np.searchsorted(place, home - np.floor(earlier + 1e-6).astype(np.int64), "left")
+        else:
+            later, home, begin = high - share * (low + high), place, np.arange(1, len(place) + 1)
+        yield begin, np.maximum(np.searchsorted(place, home + np.floor(later + 1e-6).astype(np.int64), "right") - begin, 0)
+
+
 def met(key: np.ndarray, cid: np.ndarray, at: np.ndarray, size: np.ndarray, small: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
     """(a, b, na, nb, times): the sets of one list, a the smaller, whose entries stand so that they may be alike."""
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     order = order[np.r_[False, same] | np.r_[same, False]]  # lists of one entry lead nowhere
-    order = order[np.lexsort((at[order], key[order]))]
-    cid, at, size, small = cid[order], at[order], size[order], small[order]
-    if not len(order):
-        return
-    lists = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-    span = int(at.max()) + int(np.ceil(size.max() * (1 - threshold) / threshold)) + 2
-    place = lists * span + at
-    ends = np.searchsorted(place, place + np.ceil(size * ((1 - threshold) / threshold)).astype(np.int64), "right")  # behind it the list is skipped
-    n = ends - np.arange(len(place)) - 1
-    first = 0
-    while first < len(n):  # slices of bounded work
-        to = max(first + 1, int(np.searchsorted(np.cumsum(n[first:]), AT_ONCE, "right")) + first)
-        i = np.repeat(np.arange(first, to), n[first:to])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[first:to]) - n[first:to], n[first:to])
-        first = to
-        less = (size[i] < size[j]) | ((size[i] == size[j]) & (cid[i] < cid[j]))
-        a, b = np.where(less, i, j), np.where(less, j, i)
-        na, nb = size[a], size[b]
-        needed = _needed(na, nb, threshold)
-        ok = small[a] & (cid[a] != cid[b]) & (na >= threshold * nb - 1e-9) & (at[b] - at[a] <= nb - needed) & (at[a] - at[b] <= na - needed)
-        if ok.any():
-            both = np.stack([cid[a[ok]], cid[b[ok]], na[ok], nb[ok]])
-            both = both[:, np.lexsort((both[1], both[0]))]
-            fresh = np.flatnonzero(np.r_[True, (both[0][1:] != both[0][:-1]) | (both[1][1:] != both[1][:-1])])
-            yield (*both[:, fresh], np.diff(np.r_[fresh, both.shape[1]]))
+    band = np.floor(np.log(size) / np.log(BAND) + 1e-9).astype(np.int64)
+    order = order[np.lexsort((at[order], band[order], key[order]))]
+    key, cid, at, size, small, band = (x[order] for x in (key, cid, at, size, small, band))
+    for begin, n in stretches(key, at, size, band, threshold) if len(order) else ():
+        first, total = 0, np.cumsum(n)
+        while first < len(n):  # slices of bounded work
+            before = total[first] - n[first]
+            to = max(first + 1, int(np.searchsorted(total, before + AT_ONCE, "right")))
+            i = np.repeat(np.arange(first, to), n[first:to])
+            j = np.repeat(begin[first:to] - (total[first:to] - n[first:to] - before), n[first:to]) + np.arange(len(i))
+            first = to
+            less = (size[i] < size[j]) | ((size[i] == size[j]) & (cid[i] < cid[j]))
+            a, b = np.where(less, i, j), np.where(less, j, i)
+            na, nb = size[a], size[b]
+            needed = _needed(na, nb, threshold)
+            ok = small[a] & (cid[a] != cid[b]) & (na >= threshold * nb - 1e-9) & (at[b] - at[a] <= nb - needed) & (at[a] - at[b] <= na - needed)
+            if ok.any():
+                both = np.stack([cid[a[ok]], cid[b[ok]], na[ok], nb[ok]])
+                both = both[:, np.lexsort((both[1], both[0]))]
+                fresh = np.flatnonzero(np.r_[True, (both[0][1:] != both[0][:-1]) | (both[1][1:] != both[1][:-1])])
+                yield (*both[:, fresh], np.diff(np.r_[fresh, both.shape[1]]))
 
 
 def _salted(k: np.ndarray, key: np.ndarray, frequent: np.ndarray, cid: np.ndarray, long: float) -> tuple[np.ndarray, np.ndarray]:
