@@ -136,3 +136,12 @@ def kappa(rows: DataFrame, one: str, two: str) -> DataFrame:
     pe = F.try_divide(F.col("both").cast("double"), F.col("n").cast("double") * F.col("n"))
     k = F.when(pe == 1, 1.0).otherwise(F.try_divide(F.col("po") - pe, 1 - pe))
     return seen.crossJoin(chance).select("n", F.round("po", 6).alias("agreement"), F.round(k, 6).alias("kappa"))
+
+
+def judge_agreement(labels: DataFrame) -> DataFrame:
+    """(name, n, agreement, kappa) of a judge and hand labels: correctness (a judge's figure above zero is right) and
+    faithfulness (only the full figure is faithful), each over the rows that both rated."""
+    said = labels.select("human_correct", (F.col("judge_correct") != 0).alias("judge_right"), "human_faithful", (F.col("judge_faithfulness") == 1).alias("judge_faithful"))
+    pairs = {"correctness": ("human_correct", "judge_right"), "faithfulness": ("human_faithful", "judge_faithful")}
+    out = [kappa(said, *pair).select(F.lit(name).alias("name"), "n", "agreement", "kappa") for name, pair in pairs.items()]
+    return out[0].unionByName(out[1])

@@ -44,6 +44,21 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*").dropna("all")
 
 
+def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of files that each hold one JSON array (or one object) over many lines; no file, no rows."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not list(at.getFileSystem(hadoop).globStatus(at) or []):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def results(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """The result files of earlier runs (one JSON object each), those without question metrics or of retrieval alone left out."""
+    rows = json_array(spark, f"{folder.rstrip('/')}/*.json", schema)
+    return rows.where(F.col("question_metrics").isNotNull() & ~F.coalesce(F.col("retrieval_only"), F.lit(False)))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

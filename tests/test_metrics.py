@@ -57,3 +57,10 @@ def test_judged_answers_keep_uncited_ones(spark, tmp_path):
     spark.createDataFrame([("a:p1:c0", "it was 15"), ("null:p1:c0", None)], "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r.log_id: r.faithfulness for r in evaluation.judged_answers(spark, str(tmp_path)).collect()}
     assert got == {1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 7: 0.5, 8: 0.0}
+
+
+def test_judge_agreement_over_complete_pairs(spark):
+    rows = [(1.0, 1.0, True, True)] * 19 + [(0.0, 1.0, False, False)] * 3 + [(1.0, 1.0, False, False), (1.0, 1.0, True, False), (0.0, 1.0, True, True), (None, 0.5, True, None), (1.0, 0.5, None, False)]
+    got = {r["name"]: r for r in m.judge_agreement(spark.createDataFrame(rows, "judge_correct double, judge_faithfulness double, human_correct boolean, human_faithful boolean")).collect()}
+    assert (got["correctness"].n, got["correctness"].agreement, round(got["correctness"].kappa, 4)) == (25, 0.92, 0.7024)
+    assert (got["faithfulness"].n, got["faithfulness"].agreement) == (26, round(21 / 26, 6)) and got["faithfulness"].kappa > 0

@@ -63,3 +63,13 @@ def test_late_calls_of_many_files_are_counted_once(spark, tmp_path, monkeypatch)
     for k, rows in enumerate(files):  # each file is a batch of its own; calls of the first day arrive on the fifth
         spark.createDataFrame(rows, "log_id long, ts timestamp, arrived_at timestamp, kind string, usd double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/cost_log.parquet")
     assert {tuple(r) for r in logs.cost_by_hour(spark, str(tmp_path)).collect()} == {("2026-01-01 05", "ask", 3, 5.0), ("2026-01-04 07", "ask", 1, 2.0)}
+
+
+def test_json_arrays_and_result_files(spark, tmp_path):
+    (tmp_path / "questions.json").write_text('[\n {"id": "a", "n": 1},\n {"id": "b"}\n]')
+    assert {tuple(r) for r in store.json_array(spark, f"{tmp_path}/questions.json", "id string, n int").collect()} == {("a", 1), ("b", None)}
+    assert store.json_array(spark, f"{tmp_path}/missing.json", "id string").count() == 0
+    for name, text in (("r1", '{"name": "x",\n "question_metrics": {"mrr": 0.5}}'), ("r2", '{"name": "y", "retrieval_only": true, "question_metrics": {"mrr": 1}}'), ("r3", '{"name": "z"}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    (tmp_path / "questions.json").unlink()
+    assert [r.name for r in store.results(spark, str(tmp_path), "name string, retrieval_only boolean, question_metrics struct<mrr: double>").collect()] == ["x"]
